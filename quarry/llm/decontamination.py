@@ -11,6 +11,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import textops as X
 
@@ -154,8 +155,8 @@ def _marked(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataF
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], [*names, "_items"])
 
     fields = [f for f in docs.schema.fields if f.name != "_items"]
-    schema = type(docs.schema)(fields).add("_items", "array<struct<item_id: bigint, distance: int>>")
-    return docs.mapInArrow(run, schema)
+    items_type = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("_items", items_type)]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
