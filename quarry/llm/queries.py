@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.bpe import op3_bpe
 from quarry.llm.decontamination import op8_decontamination
 from quarry.llm.fingerprints import op9_fingerprints
+from quarry.llm.jaccard_join import op2_jaccard_join
 from quarry.llm.line_dedup import OP6_SQL, op6_line_dedup
 from quarry.llm.quality import op5_quality
 from quarry.llm.sentence_spans import op7_sentence_spans
@@ -17,7 +18,7 @@ from quarry.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_bpe, op5_quality, op6_line_dedup, op7_sentence_spans, op8_decontamination, op9_fingerprints, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_bpe, op5_quality, op6_line_dedup, op7_sentence_spans, op8_decontamination, op9_fingerprints, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
