@@ -172,5 +172,17 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return encoded(docs, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", path)
 
 
+def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, and the SHA-256 of the bytes that they decode to, for every row."""
+
+    def finish(ids, table, doc_ids, rows):
+        data = [b"".join(map(table.__getitem__, i.tolist())) for i in ids]
+        found = [np.concatenate([ids[i] for i in r]).astype(np.int32) if len(r) else np.zeros(0, np.int32) for r in rows]
+        decoded = [hashlib.sha256(b"".join(map(data.__getitem__, r.tolist()))).hexdigest() for r in rows]
+        return [doc_ids, pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+
+    return encoded(docs, finish, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", path)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(X.documents(spark, sf_dir))

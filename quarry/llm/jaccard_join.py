@@ -392,5 +392,13 @@ def classes(docs: DataFrame) -> DataFrame:
     return out
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of the smallest doc_id of each component, with their columns; a repeated row stays once. Rows with a null id all stay."""
+    keep = classes(docs).where("component_id = doc_id").select("doc_id", "t")
+    known = docs.where("doc_id IS NOT NULL").withColumn("_t", F.xxhash64("text"))
+    kept = known.join(keep, (known.doc_id == keep.doc_id) & (known._t == keep.t), "left_semi").dropDuplicates(["doc_id", "_t"]).drop("_t")
+    return kept.unionAll(docs.where("doc_id IS NULL"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(X.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
