@@ -99,6 +99,10 @@ def with_snippets(hits: DataFrame, docs: DataFrame) -> DataFrame:
 def pruned_search(postings: DataFrame, blocks: DataFrame, queries: DataFrame, k: int, span: int = 4096, deleted: DataFrame | None = None) -> DataFrame:
     """As search() on one shard, after block-max pruning: only docid ranges whose bound reaches the k-th best score of a query's strongest term are scored."""
     posts = postings.join(deleted, "docid", "left_anti") if deleted is not None else postings
+    # Inlined terms have no blocks: their postings are one.
+    few = posts.join(queries.select("term").distinct(), "term", "left_semi").join(blocks.select("term").distinct(), "term", "left_anti")
+    few = few.groupBy("term").agg(F.lit(0).cast("bigint").alias("block_id"), F.min("docid").alias("first_docid"), F.max("docid").alias("last_docid"), F.count(F.lit(1)).alias("n"), F.max(F.least("tf", F.lit(IMPACT_CAP))).alias("max_impact"))
+    blocks = blocks.select(*few.columns).unionAll(few)
     bounds = blocks.groupBy("term").agg(F.max("max_impact").alias("bound"), F.sum("n").alias("df"))
     known = queries.where(F.col("op") != NOT).join(bounds, "term")
     strongest = known.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), F.desc("df"), "term"))).where("_r = 1").select("query_id", "term", "times")
@@ -106,8 +110,8 @@ def pruned_search(postings: DataFrame, blocks: DataFrame, queries: DataFrame, k:
     floor = top(first, ["query_id"], k, [F.desc("s"), "docid"]).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("s")).otherwise(1).alias("floor"))
     cells = known.join(blocks, "term").withColumn("cell", F.explode(F.sequence(F.floor(F.col("first_docid") / span), F.floor(F.col("last_docid") / span))))
     best = cells.groupBy("query_id", "cell", "term", "times").agg(F.max("max_impact").alias("m")).groupBy("query_id", "cell").agg(F.sum(F.col("m") * F.col("times")).alias("most"))
-    inlined = posts.join(known.select("query_id", "term", "times"), "term")
+    asked = posts.join(known.select("query_id", "term", "times"), "term")
     open_cells = best.join(floor, "query_id", "left").where(F.col("most") >= F.coalesce("floor", F.lit(1))).select("query_id", "cell")
-    rows = inlined.withColumn("cell", F.floor(F.col("docid") / span)).join(open_cells, ["query_id", "cell"])
+    rows = asked.withColumn("cell", F.floor(F.col("docid") / span)).join(open_cells, ["query_id", "cell"])
     got = rows.groupBy("query_id", "docid").agg(F.sum(F.least("tf", F.lit(IMPACT_CAP)).cast("bigint") * F.col("times")).alias("score")).where("score > 0")
     return top(got, ["query_id"], k, [F.desc("score"), "docid"]).select("query_id", "rank", "docid", F.least("score", F.lit(SCORE_CAP)).alias("score"))
