@@ -1,13 +1,14 @@
 """Operator 3: byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Documents are taken in chunks. A chunk explodes into its distinct pre-tokens, and keeps of its documents the places of those words in order.
-The words of all chunks are shuffled by the word, so that each distinct word of the corpus is encoded once; the ids go back to their chunks,
-where the documents are put together by position. Decoding looks every id up in the token-byte table."""
+The words of all chunks are shuffled by the word's hash, packed into one row for each chunk and bucket, so that each distinct word of the corpus is encoded once; the ids go
+back to their chunks, where the documents are put together by position. Decoding looks every id up in the token-byte table."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ from quarry.llm.pretoken import PATTERN, split
 from quarry.llm.token_counts import tokenizer_path
 
 #: Bytes of text that share a dictionary of words; a longer document is a chunk of its own.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 24 << 20
 
 
 @lru_cache(2)
@@ -91,45 +92,83 @@ def unpack(data: bytes) -> np.ndarray:
     return out
 
 
+def unpacked_words(data: bytes) -> list[bytes]:
+    """The words of a blob: their number, their sizes, then themselves."""
+    raw = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(raw < 128)  # no byte of a word is looked at: the sizes come first
+    n = int(unpack(data[: last[0] + 1])[0])
+    head = int(last[n]) + 1
+    at = np.concatenate([[0], np.cumsum(unpack(data[:head])[1:])]) + head
+    return [data[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
+
 def encoded(docs: DataFrame, finish: Callable[[list[np.ndarray], list[bytes], np.ndarray], list], schema: str, path: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id and what finish makes of a chunk's word ids, token-byte table and a row's word places."""
     name = "byte_bpe_50k.tiktoken"
     rows = docs.select("doc_id", "text")
+    buckets = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 65536)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, part in chunks(batch):
-                found, _ = numbered(part)
-                for a in range(0, len(found), 50_000):
-                    some = found[a : a + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in some], pa.binary()), pa.array([key] * len(some), pa.binary()), pa.array(range(a, a + len(some)), pa.int32())], ["word", "chunk", "place"])
+                found = [w.encode() for w in numbered(part)[0]]
+                of = np.fromiter((zlib.crc32(w) for w in found), np.int64, len(found)) % buckets
+                by = np.argsort(of, kind="stable")
+                edge = np.searchsorted(of[by], np.arange(buckets + 1))
+                blobs, at = [], []
+                for k in range(buckets):
+                    if edge[k] < edge[k + 1]:
+                        own = [found[i] for i in by[edge[k] : edge[k + 1]].tolist()]
+                        blobs.append(zlib.compress(pack(np.array([len(own), *map(len, own)])) + b"".join(own), 1))
+                        at.append(k)
+                # The chunk's own row: the bucket of each word, to find its ids again.
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*at, -1], pa.int32()), pa.array([key] * (len(at) + 1), pa.binary()), pa.array([*blobs, zlib.compress(of.astype(np.uint16).tobytes(), 1)], pa.binary())],
+                    ["bucket", "chunk", "data"],
+                )
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, part in chunks(batch):
                 _, at = numbered(part)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.binary()), part.column(0), pa.array(map(pack, at), pa.binary())], ["chunk", "doc_id", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.binary()), part.column(0), pa.array((zlib.compress(pack(a), 1) for a in at), pa.binary())], ["chunk", "doc_id", "places"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All rows of a word are in one partition, so its ids are found once."""
-        known: dict[bytes, bytes] = {}
+        """All words of a bucket are in one partition, so the ids of each are found once."""
+        known: dict[bytes, tuple[int, ...]] = {}
         one = codec(path or tokenizer_path(name))[0]._encode_single_piece
         for batch in batches:
-            ids = []
-            for w in batch.column(0).to_pylist():
-                if (got := known.get(w)) is None:
-                    got = known[w] = np.array(one(w), np.uint32).tobytes()
-                ids.append(got)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids, pa.binary())], ["chunk", "place", "ids"])
+            out = []
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if bucket >= 0:
+                    found = unpacked_words(zlib.decompress(data))
+                    for w in found:
+                        if w not in known:
+                            known[w] = tuple(one(w))
+                    got = [known[w] for w in found]
+                    data = zlib.compress(np.fromiter(map(len, got), np.uint32, len(got)).tobytes() + np.fromiter((i for g in got for i in g), np.uint32).tobytes(), 1)
+                out.append(data)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(out, pa.binary())], ["chunk", "bucket", "data"])
 
     def assemble(words: pa.Table, texts: pa.Table) -> pa.Table:
         table = codec(path or tokenizer_path(name))[1]
-        ids: list[np.ndarray] = [np.zeros(0, np.uint32)] * (max(words.column("place").to_pylist(), default=-1) + 1)
-        for place, got in zip(words.column("place").to_pylist(), words.column("ids").to_pylist(), strict=True):
-            ids[place] = np.frombuffer(got, np.uint32)
-        return pa.Table.from_arrays([pa.array(c) if not isinstance(c, (pa.Array, pa.ChunkedArray)) else c for c in finish(ids, table, texts.column("doc_id"), [unpack(p) for p in texts.column("places").to_pylist()])], [f.split()[0] for f in schema.split(", ")])
-
-    by_word = rows.mapInArrow(words, "word binary, chunk binary, place int").repartition("word").mapInArrow(encode, "chunk binary, place int, ids binary")
+        blobs = {b: zlib.decompress(d) for b, d in zip(words.column("bucket").to_pylist(), words.column("data").to_pylist(), strict=True)}
+        of = np.frombuffer(blobs.pop(-1, b""), np.uint16)
+        by = np.argsort(of, kind="stable")
+        edge = np.searchsorted(of[by], np.arange(buckets + 1))
+        ids: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(of)
+        for k, blob in blobs.items():
+            own = by[edge[k] : edge[k + 1]]
+            got = np.frombuffer(blob, np.uint32)
+            size, got = got[: len(own)], got[len(own) :]
+            for place, x in zip(own.tolist(), np.split(got, np.cumsum(size)[:-1]), strict=True):
+                ids[place] = x
+        rows = [unpack(zlib.decompress(p)) for p in texts.column("places").to_pylist()]
+        out = finish(ids, table, texts.column("doc_id"), rows)
+        return pa.Table.from_arrays(out, [f.split()[0] for f in schema.split(", ")])
+
+    dealt = rows.mapInArrow(words, "bucket int, chunk binary, data binary").repartition(buckets, "bucket")
+    by_word = dealt.mapInArrow(encode, "chunk binary, bucket int, data binary")
     by_chunk = rows.mapInArrow(places, "chunk binary, doc_id long, places binary")
     return by_word.groupBy("chunk").cogroup(by_chunk.groupBy("chunk")).applyInArrow(assemble, schema)
 
