@@ -6,6 +6,7 @@ When a level has FANOUT runs they are compacted into one run of the next level,
 
 from __future__ import annotations
 
+import gc
 from functools import reduce
 from uuid import uuid4
 
@@ -33,6 +34,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def save(rows: DataFrame, path: str) -> DataFrame:
+    """Writes rows to the scratch folder, packed well, and reads them again."""
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def hash_pair(key: Column) -> list[Column]:
     """128 bits that stand for a key."""
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")]

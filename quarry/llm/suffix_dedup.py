@@ -10,7 +10,6 @@ equal strings at every offset: strings are equal if their left parts and their r
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import textops as X
 from quarry.llm.jaccard_join import bounds, runs
-from quarry.llm.line_dedup import scratch
+from quarry.llm.line_dedup import release, save, scratch
 
 LENGTH = 200
 #: Bytes of an anchor.
@@ -308,27 +307,20 @@ def found_parts(distinct: DataFrame) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "h long, x1 long, x2 long, parts array<int>")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, t, spans (struct begin, end; may overlap) of every document with bytes that a repeated string covers."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL AND octet_length(text) > 0").select("doc_id", F.xxhash64("text").alias("t"), "text")
-    repeated_anchors(rows).write.parquet(f"{folder}/anchors")
+    anchored = save(repeated_anchors(rows), f"{folder}/anchors")
     release(spark)
-    surroundings(rows, spark.read.parquet(f"{folder}/anchors")).write.parquet(f"{folder}/surroundings")
+    around = save(surroundings(rows, anchored), f"{folder}/surroundings")
     release(spark)
-    around = spark.read.parquet(f"{folder}/surroundings").withColumns({"x1": F.xxhash64("left", "ctx"), "x2": F.xxhash64(F.lit("x"), "ctx", "left")})
+    around = around.withColumns({"x1": F.xxhash64("left", "ctx"), "x2": F.xxhash64(F.lit("x"), "ctx", "left")})
     distinct = around.groupBy("h", "x1", "x2").agg(F.count(F.lit(1)).alias("c"), F.first("left").alias("left"), F.first("ctx").alias("ctx"))
-    distinct.write.parquet(f"{folder}/distinct")
+    distinct = save(distinct, f"{folder}/distinct")
     release(spark)
-    found_parts(spark.read.parquet(f"{folder}/distinct")).write.parquet(f"{folder}/parts")
+    parts = save(found_parts(distinct), f"{folder}/parts")
     release(spark)
-    parts = spark.read.parquet(f"{folder}/parts")
     spans = around.select("h", "x1", "x2", "doc_id", "t", "begin").join(parts, ["h", "x1", "x2"])
     spans = spans.select("doc_id", "t", F.explode(F.expr("transform(sequence(0, size(parts) - 2, 2), i -> struct(begin + parts[i] AS begin, begin + parts[i + 1] AS end))")).alias("s"))
     return spans.groupBy("doc_id", "t").agg(F.collect_list("s").alias("spans"))
