@@ -181,26 +181,33 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for a, _, where, (row, at, h, _, _) in each(batch, 2):
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[a + row]), pa.array(t[a + row]), pa.array((at - where[row]).astype(np.int32))], ["h", "doc_id", "t", "at"])
+                # What occurs twice here is known to be repeated. One row of it goes where its hash is counted, the others anywhere.
+                _, first, of, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                known, told = count[of] > 1, np.zeros(len(h), bool)
+                told[first] = True
+                key = np.where(told, h, X.mix((at + where[0]).astype(np.uint64) + X.BASE * ids[a + row].astype(np.uint64)).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(ids[a + row]), pa.array(t[a + row]), pa.array((at - where[row]).astype(np.int32)), pa.array(known)], ["h", "doc_id", "t", "at", "known"]
+                )
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a partition sorted by h; the last row of a batch waits for the next, with whether it is known to be repeated."""
         held: pa.RecordBatch | None = None
-        known = False
+        before = False
         for batch in batches:
             both = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
             h = both.column(0).to_numpy(zero_copy_only=False)
             same = h[1:] == h[:-1]
-            use = np.append(same, False) | np.append(False, same)
-            use[0] |= known
-            held, known = both.slice(len(h) - 1), bool(use[-1])
+            use = np.append(same, False) | np.append(False, same) | both.column(4).to_numpy(zero_copy_only=False)
+            use[0] |= before
+            held, before = both.slice(len(h) - 1), bool(use[-1])
             out = both.slice(0, len(h) - 1).filter(pa.array(use[:-1]))
             if out.num_rows:
                 yield out.select(["doc_id", "t", "at"])
-        if held is not None and known:
+        if held is not None and before:
             yield held.select(["doc_id", "t", "at"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, t long, at int").repartition("h").sortWithinPartitions("h").mapInArrow(several, "doc_id long, t long, at int")
+    return docs.mapInArrow(run, "h long, doc_id long, t long, at int, known boolean").repartition("h").sortWithinPartitions("h").mapInArrow(several, "doc_id long, t long, at int")
 
 
 def surroundings(docs: DataFrame, found: DataFrame) -> DataFrame:
