@@ -11,6 +11,7 @@ inside a component that is already known are not looked for, and no link between
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import textops as X
 from quarry.llm.components import components
-from quarry.llm.line_dedup import scratch
+from quarry.llm.line_dedup import release, scratch
 
 WORDS = 5
 #: Similarity as a fraction: links have DEN * intersection >= NUM * union.
@@ -31,6 +32,8 @@ BINS = 64
 BLOCK = 512
 #: A posting of so many members is small; one of more than MANY is dealt out to several tasks.
 FEW = 8
+#: After so many rounds that ask one pair for each two components, all pairs that are left are asked.
+ROUNDS = 3
 MANY = 20_000
 
 
@@ -206,26 +209,27 @@ def with_partner(posted: DataFrame) -> DataFrame:
     return posted.repartition("h").sortWithinPartitions("h", "n", "g").mapInArrow(run, "h long, g long")
 
 
-def allowed(n: np.ndarray, m: np.ndarray, share: np.ndarray, full: np.ndarray) -> np.ndarray:
-    """Whether sets of sizes n and m whose histograms share so much can be similar enough; full: both have a bin that may hold more than it says."""
-    least, most = np.minimum(n, m), np.maximum(n, m)
+def likeness(n: np.ndarray, m: np.ndarray, share: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Upper bound of the similarity, in ten-thousandths, of sets of sizes n and m whose histograms share so much; 0 if it isn't enough.
+    full: both have a bin that may hold more than it says."""
+    least = np.minimum(n, m)
     share = np.where(full, least, np.minimum(share, least))
-    return (least * DEN >= most * NUM) & (share * DEN >= NUM * (n + m - share))
+    return np.where(share * DEN >= NUM * (n + m - share), 10_000 * share // np.maximum(n + m - share, 1), 0)
 
 
 def may_link(n: np.ndarray, hist: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """allowed() of each pair, as a matrix."""
+    """likeness() of each pair, as a matrix."""
     if len(n) * len(m) <= 4096:
         share = np.minimum(hist[:, None, :], other[None, :, :]).sum(2, dtype=np.int64)
     else:
         share = np.zeros((len(n), len(m)), np.int64)
         for k in range(BINS):
             share += np.minimum(hist[:, k, None], other[None, :, k])
-    return allowed(n[:, None], m[None, :], share, (hist == 255).any(1)[:, None] & (other == 255).any(1)[None, :])
+    return likeness(n[:, None], m[None, :], share, (hist == 255).any(1)[:, None] & (other == 255).any(1)[None, :])
 
 
 def candidate_pairs(members: DataFrame, labelled: bool) -> DataFrame:
-    """Distinct pairs (a, b), a > b, of members (key, e, n, hist and, if labelled, label) of a posting that may link.
+    """Distinct pairs (a, b), a > b, and the bound q of their likeness, of members (key, e, n, hist and, if labelled, label) of a posting that may link.
 
     Labelled: all pairs with different labels. Otherwise: all pairs of a posting of FEW members; in a larger one each member with the leaders among those of its size or
     less, and each leader (who may link with no earlier leader) with one earlier member at least if it may link with any."""
@@ -245,8 +249,8 @@ def candidate_pairs(members: DataFrame, labelled: bool) -> DataFrame:
                     x = x[label[x] != label[x + d]]
                 x = x[np.minimum(n[x], n[x + d]) * DEN >= np.maximum(n[x], n[x + d]) * NUM]
                 share = np.minimum(hist[x], hist[x + d]).sum(1, dtype=np.int64)
-                x = x[allowed(n[x], n[x + d], share, (hist[x] == 255).any(1) & (hist[x + d] == 255).any(1))]
-                found.append((x, x + d))
+                q = likeness(n[x], n[x + d], share, (hist[x] == 255).any(1) & (hist[x + d] == 255).any(1))
+                found.append((x[q > 0], x[q > 0] + d, q[q > 0]))
             for a, b in zip(edge, edge[1:], strict=False):
                 if b - a <= FEW:
                     continue
@@ -257,15 +261,15 @@ def candidate_pairs(members: DataFrame, labelled: bool) -> DataFrame:
                     continue
                 own = own[np.lexsort((e[own], n[own]))]
                 found += _all_pairs(own, n, hist, label) if labelled else _to_leaders(own, n, hist)
-            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            x, y, q = (np.concatenate(c) for c in zip(*found, strict=True))
             if len(x):
-                pairs = np.unique(np.stack([np.maximum(e[x], e[y]), np.minimum(e[x], e[y])], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                pairs = np.unique(np.stack([np.maximum(e[x], e[y]), np.minimum(e[x], e[y]), q], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], ["a", "b", "q"])
 
-    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, q int").distinct()
 
 
-def _to_leaders(own: np.ndarray, n: np.ndarray, hist: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _to_leaders(own: np.ndarray, n: np.ndarray, hist: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """own: by size, the smaller first. A leader whose size no longer fits is not asked again."""
     leaders = np.zeros(0, np.int64)
     for at in range(0, len(own), BLOCK):
@@ -274,40 +278,42 @@ def _to_leaders(own: np.ndarray, n: np.ndarray, hist: np.ndarray) -> Iterator[tu
         led = np.zeros(len(block), bool)
         for k in range(0, len(leaders), BLOCK):
             some = leaders[k : k + BLOCK]
-            x, y = np.nonzero(may_link(n[block], hist[block], n[some], hist[some]))
+            q = may_link(n[block], hist[block], n[some], hist[some])
+            x, y = np.nonzero(q)
             led[x] = True
-            yield block[x], some[y]
+            yield block[x], some[y], q[x, y]
         rest = block[~led]
         if not len(rest):
             continue
-        can = may_link(n[rest], hist[rest], n[rest], hist[rest])
+        q = may_link(n[rest], hist[rest], n[rest], hist[rest])
         lead = np.zeros(len(rest), bool)
         for i in range(len(rest)):
-            lead[i] = not (can[i, :i] & lead[:i]).any()
-        x, y = np.nonzero(can & lead[None, :] & ~lead[:, None])
-        yield rest[x], rest[y]
+            lead[i] = not (q[i, :i][lead[:i]] > 0).any()
+        x, y = np.nonzero((q > 0) & lead[None, :] & ~lead[:, None])
+        yield rest[x], rest[y], q[x, y]
         new = rest[lead]
         alone = np.ones(len(new), bool)
         for k in range(0, at + BLOCK, BLOCK):  # a member of this block or an earlier one that is led by another
             some = own[k : k + BLOCK]
             if alone.any() and n[some[-1]] * DEN >= n[new[0]] * NUM:
-                ok = may_link(n[new], hist[new], n[some], hist[some]) & (new[:, None] != some[None, :]) & alone[:, None]
-                x = np.flatnonzero(ok.any(1))
-                yield new[x], some[ok[x].argmax(1)]
+                q = may_link(n[new], hist[new], n[some], hist[some]) * ((new[:, None] != some[None, :]) & alone[:, None])
+                x = np.flatnonzero(q.any(1))
+                y = q[x].argmax(1)
+                yield new[x], some[y], q[x, y]
                 alone[x] = False
         leaders = np.append(leaders, new)
 
 
-def _all_pairs(own: np.ndarray, n: np.ndarray, hist: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _all_pairs(own: np.ndarray, n: np.ndarray, hist: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for at in range(0, len(own), BLOCK):
         block = own[at : at + BLOCK]
         for to in range(at, len(own), BLOCK):
             some = own[to : to + BLOCK]
             if n[block[-1]] * DEN < n[some[0]] * NUM:
                 break
-            ok = may_link(n[block], hist[block], n[some], hist[some]) & (label[block][:, None] != label[some][None, :])
-            x, y = np.nonzero(np.triu(ok, 1) if to == at else ok)
-            yield block[x], some[y]
+            q = may_link(n[block], hist[block], n[some], hist[some]) * (label[block][:, None] != label[some][None, :])
+            x, y = np.nonzero(np.triu(q, 1) if to == at else q)
+            yield block[x], some[y], q[x, y]
 
 
 def dealt(expanded: DataFrame, pairwise: bool) -> DataFrame:
@@ -362,6 +368,7 @@ def classes(docs: DataFrame) -> DataFrame:
     members = members.where("rep IS NOT NULL")
     shared = members.groupBy("g").count().where("count > 1").select(F.col("g").alias("h"), "g")
     with_partner(postings(docs, rank)).unionAll(shared).write.parquet(f"{folder}/postings")
+    release(spark)
     posted = spark.read.parquet(f"{folder}/postings")
     expanded = posted.join(members.select("g", "e", "n", "hist"), "g").select("h", "e", "n", "hist")
     candidate_pairs(dealt(expanded, False), labelled=False).write.parquet(f"{folder}/pairs-0")
@@ -372,18 +379,39 @@ def classes(docs: DataFrame) -> DataFrame:
     keyed = sets.select("doc_id", "t", "e").join(wanted, (F.col("e") == F.col("end")) & (F.col("doc_id") == F.col("rep"))).select("e", "doc_id", "t").dropDuplicates(["e"])
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     rows.join(keyed, ["doc_id", "t"]).select("e", "text").dropDuplicates(["e"]).write.parquet(f"{folder}/texts")
+    release(spark)
     texts = spark.read.parquet(f"{folder}/texts")
-    verified(pairs, texts).write.parquet(f"{folder}/links-0")
-    links = spark.read.parquet(f"{folder}/links-0")
-    labels = components(links, f"{folder}/cc-0")
-    labelled = ends.join(labels.select(F.col("node").alias("e"), "label"), "e", "left").select("e", F.coalesce("label", "e").alias("label"))
-    # What is left to look at: postings whose members are in several components.
-    split = expanded.join(labelled, "e")
-    open_h = split.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
-    again = candidate_pairs(dealt(split.join(open_h, "h"), True), labelled=True).join(pairs, ["a", "b"], "left_anti")
-    verified(again, texts).write.parquet(f"{folder}/links-1")
-    links = links.unionAll(spark.read.parquet(f"{folder}/links-1")).distinct()
-    labels = components(links, f"{folder}/cc-1")
+    # First each member with two partners: the likeliest and the one with the smallest key, where stars grow.
+    asked = pairs.groupBy("a").agg(F.max_by("b", F.struct("q", "b")).alias("near"), F.min("b").alias("low"))
+    asked = asked.select("a", F.explode(F.array_distinct(F.array("near", "low"))).alias("b"))
+    n_ends, k, last = ends.count(), 0, False
+    while True:
+        asked.write.parquet(f"{folder}/asked-{k}")
+        verified(spark.read.parquet(f"{folder}/asked-{k}"), texts).write.parquet(f"{folder}/links-{k}")
+        release(spark)
+        done = reduce(DataFrame.unionAll, [spark.read.parquet(f"{folder}/asked-{i}") for i in range(k + 1)])
+        links = reduce(DataFrame.unionAll, [spark.read.parquet(f"{folder}/links-{i}") for i in range(k + 1)])
+        labels = components(links, f"{folder}/cc-{k}")
+        if last:
+            break
+        # What is left to look at: postings whose members are in several components.
+        labelled = ends.join(labels.select(F.col("node").alias("e"), "label"), "e", "left").select("e", F.coalesce("label", "e").alias("label"))
+        split = expanded.join(labelled, "e")
+        open_h = split.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
+        left = candidate_pairs(dealt(split.join(open_h, "h"), True), labelled=True).join(done, ["a", "b"], "left_anti")
+        k += 1
+        left.write.parquet(f"{folder}/left-{k}")
+        left = spark.read.parquet(f"{folder}/left-{k}")
+        n_left = left.count()
+        if not n_left:
+            break
+        last = n_left <= 2 * n_ends or k == ROUNDS
+        if last:
+            asked = left.select("a", "b")  # all of them
+        else:  # one for each pair of components
+            of = labelled.select("e", "label")
+            both = left.join(of.select(F.col("e").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("e").alias("b"), F.col("label").alias("lb")), "b")
+            asked = both.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.max_by(F.struct("a", "b"), F.struct("q", "a", "b")).alias("p")).select("p.a", "p.b")
     degree = links.select(F.col("a").alias("e")).unionAll(links.select(F.col("b").alias("e"))).groupBy("e").agg(F.count(F.lit(1)).alias("n_links"))
     known = members.join(labels.select(F.col("node").alias("e"), "label"), "e", "left").select("e", "rep", F.coalesce("label", "e").alias("label"))
     least = known.groupBy("label").agg(F.min("rep").alias("component"))
