@@ -2,7 +2,7 @@
 
 Words are shingled, and the distinct shingles of a document ordered by a fixed-size count sketch, the rarer first. Two sets that are similar enough
 share a shingle of their prefixes. Documents with the same prefix and size are one group, and only groups are posted under the prefix shingles;
-postings that stand alone or have no partner of a fitting size go. The groups left are expanded into their members (distinct sets), and pairs of members whose
+postings that stand alone go. The groups left are expanded into their members (distinct sets), and pairs of members whose
 histograms allow the overlap are verified on the whole texts.
 
 A posting with many members is first joined to a few leaders; a second pass then takes all pairs whose ends are still in different components. So links
@@ -144,10 +144,14 @@ def set_rows(docs: DataFrame, rank: np.ndarray) -> DataFrame:
 
 
 def postings(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """h, g, n: each group once in each task under each shingle of its prefix, and under its own key."""
+    """key, h, g, known: each group once in each batch under each shingle of its prefix.
+
+    known: the batch has another group under that shingle. One such row has key h, where h is counted, the others any key: a shingle of very many groups
+    sends each counting task one row from each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for _, rows, row, h in each_set(batch, 0):
                 n, row, h = ordered_prefixes(row, h, rows, rank)
                 g = group_keys(n, row, h)
@@ -155,17 +159,32 @@ def postings(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 one = np.zeros(rows, bool)
                 one[first] = True
                 use = one[row]
-                yield pa.RecordBatch.from_arrays([pa.array(h[use].astype(np.int64)), pa.array(g[row[use]]), pa.array(n[row[use]].astype(np.int32))], ["h", "g", "n"])
-
-    return docs.select("text").mapInArrow(run, "h long, g long, n int")
+                found.append((h[use].astype(np.int64), g[row[use]]))
+            h, g = (np.concatenate(c) for c in zip(*found, strict=True))
+            by = np.lexsort((g, h))
+            h, g = h[by], g[by]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+            h, g = h[new], g[new]
+            if not len(h):
+                continue
+            edge = bounds(h)
+            known = np.repeat(np.diff(edge) > 1, np.diff(edge))
+            key = np.where(known, X.mix((h ^ g).astype(np.uint64)).view(np.int64), h)
+            key[edge[:-1]] = h[edge[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(g), pa.array(known)], ["key", "h", "g", "known"])
+
+    return docs.select("text").mapInArrow(run, "key long, h long, g long, known boolean")
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str = "h") -> Iterator[pa.RecordBatch]:
     """The rows of a partition sorted by key, dealt anew so that all rows of a key are in one batch."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cut = int(np.searchsorted(keys, keys[-1], "left")) if len(keys) else 0
+        cut = int(np.searchsorted(keys, keys[-1], "left"))
         if held and cut:
             yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
             held = [batch.slice(cut)]
@@ -186,27 +205,19 @@ def bounds(keys: np.ndarray) -> np.ndarray:
 
 
 def with_partner(posted: DataFrame) -> DataFrame:
-    """h, g of the postings that share h with another group of a fitting size. The rows of a key are streamed through in order of size."""
+    """h, g of the postings that share h with another group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # h, g, n, whether it is out already
-        for batch in batches:
-            h, g, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if last:
-                h, g, n = np.append(last[0], h), np.append(last[1], g), np.append(last[2], n)
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-            done = bool(last and last[3])  # the row that was held back is out already
-            h, g, n = h[fresh], g[fresh], n[fresh]
-            near = (h[1:] == h[:-1]) & (n[:-1].astype(np.int64) * DEN >= n[1:].astype(np.int64) * NUM)
-            use = np.append(near, False) | np.append(False, near)
-            emit = use.copy()
-            emit[0] &= not done
-            last = (h[-1], g[-1], n[-1], bool(use[-1]) or (len(h) == 1 and done))
-            if emit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[emit].astype(np.int64)), pa.array(g[emit].astype(np.int64))], ["h", "g"])
-
-    return posted.repartition("h").sortWithinPartitions("h", "n", "g").mapInArrow(run, "h long, g long")
+        for batch in runs(batches, "key"):
+            key, g, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "g", "known"))
+            edge = bounds(key)
+            several = np.maximum.reduceat(known.astype(np.int8), edge[:-1]) > 0
+            several |= np.minimum.reduceat(g, edge[:-1]) != np.maximum.reduceat(g, edge[:-1])
+            out = batch.filter(pa.array(np.repeat(several, np.diff(edge))))
+            if out.num_rows:
+                yield out.select(["h", "g"])
+
+    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(run, "h long, g long").distinct()
 
 
 def likeness(n: np.ndarray, m: np.ndarray, share: np.ndarray, full: np.ndarray) -> np.ndarray:
@@ -316,11 +327,15 @@ def _all_pairs(own: np.ndarray, n: np.ndarray, hist: np.ndarray, label: np.ndarr
             yield block[x], some[y], q[x, y]
 
 
+def large_postings(expanded: DataFrame) -> DataFrame:
+    """h and its parts, for postings of more than MANY members."""
+    return expanded.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MANY).select("h", F.ceil(F.col("c") / MANY).cast("int").alias("parts"))
+
+
 def dealt(expanded: DataFrame, pairwise: bool) -> DataFrame:
     """expanded with a column key: h, or for a posting of more than MANY members a part of it. Pairwise: each member goes into as many parts as
     there are, so that any two meet in one."""
-    large = expanded.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MANY).select("h", F.ceil(F.col("c") / MANY).cast("int").alias("parts"))
-    both = expanded.join(large, "h", "left").withColumn("s", F.expr("CASE WHEN parts IS NOT NULL THEN pmod(xxhash64(e), parts) END"))
+    both = expanded.join(large_postings(expanded), "h", "left").withColumn("s", F.expr("CASE WHEN parts IS NOT NULL THEN pmod(xxhash64(e), parts) END"))
     if pairwise:
         both = both.withColumn("o", F.explode(F.expr("CASE WHEN parts IS NULL THEN array(0L) ELSE sequence(0L, parts - 1L) END")))
         return both.withColumn("key", F.expr("CASE WHEN parts IS NULL THEN h ELSE xxhash64(h, least(s, o), greatest(s, o)) END"))
@@ -373,12 +388,13 @@ def classes(docs: DataFrame) -> DataFrame:
     expanded = posted.join(members.select("g", "e", "n", "hist"), "g").select("h", "e", "n", "hist")
     candidate_pairs(dealt(expanded, False), labelled=False).write.parquet(f"{folder}/pairs-0")
     pairs = spark.read.parquet(f"{folder}/pairs-0")
-    # The texts of all sets that may link with any, fetched once.
-    ends = pairs.select(F.col("a").alias("e")).unionAll(pairs.select(F.col("b").alias("e"))).distinct()
+    # The texts of all sets that may link with any, fetched once. Parts of a large posting have not met each other yet: all its members may.
+    ends = pairs.select(F.col("a").alias("e")).unionAll(pairs.select(F.col("b").alias("e")))
+    ends = ends.unionAll(expanded.join(large_postings(expanded), "h", "left_semi").select("e")).distinct()
     wanted = ends.join(members.select("e", "rep"), "e").withColumnRenamed("e", "end")
     keyed = sets.select("doc_id", "t", "e").join(wanted, (F.col("e") == F.col("end")) & (F.col("doc_id") == F.col("rep"))).select("e", "doc_id", "t").dropDuplicates(["e"])
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    rows.join(keyed, ["doc_id", "t"]).select("e", "text").dropDuplicates(["e"]).write.parquet(f"{folder}/texts")
+    rows.join(keyed, ["doc_id", "t"]).select("e", "text").dropDuplicates(["e"]).write.option("compression", "zstd").parquet(f"{folder}/texts")
     release(spark)
     texts = spark.read.parquet(f"{folder}/texts")
     # First each member with two partners: the likeliest and the one with the smallest key, where stars grow.
