@@ -52,9 +52,9 @@ class NaiveBayesLinear:
 
     @classmethod
     def fit(cls, texts: list[str], y: list[int], rounds: int = 150, l2: float = 1e-2) -> NaiveBayesLinear:
-        """Without rows of both classes the score is the same for all texts: the share of label 1, smoothed."""
+        """Without rows of both classes the score is the same for all texts: the share of label 1, smoothed towards a third."""
         target = np.asarray(y, np.float64)
-        share = (target.sum() + 1) / (len(target) + 2)
+        share = (target.sum() + 1) / (len(target) + 3)
         size = 1 << BITS
         if not len(target) or target.min() == target.max():
             return cls(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
