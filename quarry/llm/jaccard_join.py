@@ -3,7 +3,7 @@
 Words are shingled, and the distinct shingles of a document ordered by a fixed-size count sketch, the rarer first. Two sets that are similar enough
 share a shingle of their prefixes. Documents with the same prefix and size are one group, and only groups are posted under the prefix shingles;
 postings that stand alone go. The groups left are expanded into their members (distinct sets), and pairs of members whose
-histograms allow the overlap are verified on the whole texts.
+parity bits allow the overlap are verified on the whole texts.
 
 A posting with many members is first joined to a few leaders; a second pass then takes all pairs whose ends are still in different components. So links
 inside a component that is already known are not looked for, and no link between components is lost."""
@@ -25,9 +25,9 @@ from quarry.llm.line_dedup import release, scratch
 WORDS = 5
 #: Similarity as a fraction: links have DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
-#: Cells of the count sketch (its size never grows), and bins of a set's histogram.
+#: Cells of the count sketch (its size never grows), and parity bits of a set.
 SKETCH_BITS = 18
-BINS = 64
+BITS = 512
 #: Members of a posting that are compared at once.
 BLOCK = 512
 #: A posting of so many members is small; one of more than MANY is dealt out to several tasks.
@@ -125,7 +125,9 @@ def group_keys(n: np.ndarray, row: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """doc_id, t (the text's hash), n, e and c (128 bits that stand for the set), g (its group), hist (shingles in each bin, 255 for more) of every row."""
+    """doc_id, t (the text's hash), n, e and c (128 bits that stand for the set), g (its group), odd of every row.
+
+    odd: BITS bits, each 1 if an odd number of the set's shingles fall on it. Two sets differ in at least as many shingles as these differ in bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,13 +136,13 @@ def set_rows(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 e, c = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
                 np.add.at(e, row, X.mix(h + X.BASE))
                 np.add.at(c, row, X.mix(h ^ X.MIX_B))
-                hist = np.minimum(np.bincount(row * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), minlength=rows * BINS), 255).astype(np.uint8).reshape(rows, BINS)
+                odd = np.packbits((np.bincount(row * BITS + (h & np.uint64(BITS - 1)).astype(np.int64), minlength=rows * BITS) & 1).astype(np.uint8)).reshape(rows, BITS // 8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, rows), batch.column(2).slice(a, rows), pa.array(n.astype(np.int64)), pa.array(X.mix(e + n.astype(np.uint64)).astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(group_keys(n, p_row, p)), pa.array([x.tobytes() for x in hist], pa.binary())],
-                    ["doc_id", "t", "n", "e", "c", "g", "hist"],
+                    [batch.column(0).slice(a, rows), batch.column(2).slice(a, rows), pa.array(n.astype(np.int64)), pa.array(X.mix(e + n.astype(np.uint64)).astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(group_keys(n, p_row, p)), pa.array([x.tobytes() for x in odd], pa.binary())],
+                    ["doc_id", "t", "n", "e", "c", "g", "odd"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n long, e long, c long, g long, hist binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n long, e long, c long, g long, odd binary")
 
 
 def postings(docs: DataFrame, rank: np.ndarray) -> DataFrame:
@@ -220,27 +222,22 @@ def with_partner(posted: DataFrame) -> DataFrame:
     return posted.repartition("key").sortWithinPartitions("key").mapInArrow(run, "h long, g long").distinct()
 
 
-def likeness(n: np.ndarray, m: np.ndarray, share: np.ndarray, full: np.ndarray) -> np.ndarray:
-    """Upper bound of the similarity, in ten-thousandths, of sets of sizes n and m whose histograms share so much; 0 if it isn't enough.
-    full: both have a bin that may hold more than it says."""
-    least = np.minimum(n, m)
-    share = np.where(full, least, np.minimum(share, least))
+def likeness(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Upper bound of the similarity, in ten-thousandths, of sets of sizes n and m whose parity bits differ so often; 0 if it isn't enough."""
+    share = np.minimum((n + m - differ) // 2, np.minimum(n, m))
     return np.where(share * DEN >= NUM * (n + m - share), 10_000 * share // np.maximum(n + m - share, 1), 0)
 
 
-def may_link(n: np.ndarray, hist: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+def may_link(n: np.ndarray, odd: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
     """likeness() of each pair, as a matrix."""
-    if len(n) * len(m) <= 4096:
-        share = np.minimum(hist[:, None, :], other[None, :, :]).sum(2, dtype=np.int64)
-    else:
-        share = np.zeros((len(n), len(m)), np.int64)
-        for k in range(BINS):
-            share += np.minimum(hist[:, k, None], other[None, :, k])
-    return likeness(n[:, None], m[None, :], share, (hist == 255).any(1)[:, None] & (other == 255).any(1)[None, :])
+    differ = np.zeros((len(n), len(m)), np.int64)
+    for k in range(odd.shape[1]):
+        differ += np.bitwise_count(odd[:, k, None] ^ other[None, :, k])
+    return likeness(n[:, None], m[None, :], differ)
 
 
 def candidate_pairs(members: DataFrame, labelled: bool) -> DataFrame:
-    """Distinct pairs (a, b), a > b, and the bound q of their likeness, of members (key, e, n, hist and, if labelled, label) of a posting that may link.
+    """Distinct pairs (a, b), a > b, and the bound q of their likeness, of members (key, e, n, odd and, if labelled, label) of a posting that may link.
 
     Labelled: all pairs with different labels. Otherwise: all pairs of a posting of FEW members; in a larger one each member with the leaders among those of its size or
     less, and each leader (who may link with no earlier leader) with one earlier member at least if it may link with any."""
@@ -249,7 +246,7 @@ def candidate_pairs(members: DataFrame, labelled: bool) -> DataFrame:
         for batch in runs(batches, "key"):
             keys, e, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "e", "n"))
             n = n.astype(np.int64)
-            hist = np.frombuffer(b"".join(batch.column("hist").to_pylist()), np.uint8).reshape(-1, BINS)
+            odd = np.frombuffer(X.flat(batch.column("odd"))[0], np.uint64).reshape(-1, BITS // 64)
             label = batch.column("label").to_numpy(zero_copy_only=False) if labelled else None
             edge = bounds(keys)
             count = np.repeat(np.diff(edge), np.diff(edge))
@@ -259,8 +256,7 @@ def candidate_pairs(members: DataFrame, labelled: bool) -> DataFrame:
                 if labelled:
                     x = x[label[x] != label[x + d]]
                 x = x[np.minimum(n[x], n[x + d]) * DEN >= np.maximum(n[x], n[x + d]) * NUM]
-                share = np.minimum(hist[x], hist[x + d]).sum(1, dtype=np.int64)
-                q = likeness(n[x], n[x + d], share, (hist[x] == 255).any(1) & (hist[x + d] == 255).any(1))
+                q = likeness(n[x], n[x + d], np.bitwise_count(odd[x] ^ odd[x + d]).sum(1, dtype=np.int64))
                 found.append((x[q > 0], x[q > 0] + d, q[q > 0]))
             for a, b in zip(edge, edge[1:], strict=False):
                 if b - a <= FEW:
@@ -271,7 +267,7 @@ def candidate_pairs(members: DataFrame, labelled: bool) -> DataFrame:
                 if len(own) < 2 or labelled and (label[own] == label[own[0]]).all():
                     continue
                 own = own[np.lexsort((e[own], n[own]))]
-                found += _all_pairs(own, n, hist, label) if labelled else _to_leaders(own, n, hist)
+                found += _all_pairs(own, n, odd, label) if labelled else _to_leaders(own, n, odd)
             x, y, q = (np.concatenate(c) for c in zip(*found, strict=True))
             if len(x):
                 pairs = np.unique(np.stack([np.maximum(e[x], e[y]), np.minimum(e[x], e[y]), q], 1), axis=0)
@@ -280,7 +276,7 @@ def candidate_pairs(members: DataFrame, labelled: bool) -> DataFrame:
     return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, q int").distinct()
 
 
-def _to_leaders(own: np.ndarray, n: np.ndarray, hist: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _to_leaders(own: np.ndarray, n: np.ndarray, odd: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """own: by size, the smaller first. A leader whose size no longer fits is not asked again."""
     leaders = np.zeros(0, np.int64)
     for at in range(0, len(own), BLOCK):
@@ -289,14 +285,14 @@ def _to_leaders(own: np.ndarray, n: np.ndarray, hist: np.ndarray) -> Iterator[tu
         led = np.zeros(len(block), bool)
         for k in range(0, len(leaders), BLOCK):
             some = leaders[k : k + BLOCK]
-            q = may_link(n[block], hist[block], n[some], hist[some])
+            q = may_link(n[block], odd[block], n[some], odd[some])
             x, y = np.nonzero(q)
             led[x] = True
             yield block[x], some[y], q[x, y]
         rest = block[~led]
         if not len(rest):
             continue
-        q = may_link(n[rest], hist[rest], n[rest], hist[rest])
+        q = may_link(n[rest], odd[rest], n[rest], odd[rest])
         lead = np.zeros(len(rest), bool)
         for i in range(len(rest)):
             lead[i] = not (q[i, :i][lead[:i]] > 0).any()
@@ -307,7 +303,7 @@ def _to_leaders(own: np.ndarray, n: np.ndarray, hist: np.ndarray) -> Iterator[tu
         for k in range(0, at + BLOCK, BLOCK):  # a member of this block or an earlier one that is led by another
             some = own[k : k + BLOCK]
             if alone.any() and n[some[-1]] * DEN >= n[new[0]] * NUM:
-                q = may_link(n[new], hist[new], n[some], hist[some]) * ((new[:, None] != some[None, :]) & alone[:, None])
+                q = may_link(n[new], odd[new], n[some], odd[some]) * ((new[:, None] != some[None, :]) & alone[:, None])
                 x = np.flatnonzero(q.any(1))
                 y = q[x].argmax(1)
                 yield new[x], some[y], q[x, y]
@@ -315,14 +311,14 @@ def _to_leaders(own: np.ndarray, n: np.ndarray, hist: np.ndarray) -> Iterator[tu
         leaders = np.append(leaders, new)
 
 
-def _all_pairs(own: np.ndarray, n: np.ndarray, hist: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _all_pairs(own: np.ndarray, n: np.ndarray, odd: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for at in range(0, len(own), BLOCK):
         block = own[at : at + BLOCK]
         for to in range(at, len(own), BLOCK):
             some = own[to : to + BLOCK]
             if n[block[-1]] * DEN < n[some[0]] * NUM:
                 break
-            q = may_link(n[block], hist[block], n[some], hist[some]) * (label[block][:, None] != label[some][None, :])
+            q = may_link(n[block], odd[block], n[some], odd[some]) * (label[block][:, None] != label[some][None, :])
             x, y = np.nonzero(np.triu(q, 1) if to == at else q)
             yield block[x], some[y], q[x, y]
 
@@ -376,7 +372,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = spark.read.parquet(f"{folder}/sets")
     full = sets.where("n > 0")
     # One row for each distinct set; of equal sets the copy with the smallest id speaks for all.
-    full.groupBy("e", "c", "n", "g").agg(F.min("doc_id").alias("rep"), F.first("hist").alias("hist")).write.parquet(f"{folder}/members")
+    full.groupBy("e", "c", "n", "g").agg(F.min("doc_id").alias("rep"), F.first("odd").alias("odd")).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
     if members.groupBy("e").count().where("count > 1").limit(1).count():
         raise ValueError("two different sets have the same 64-bit key; choose another BASE")
@@ -385,7 +381,7 @@ def classes(docs: DataFrame) -> DataFrame:
     with_partner(postings(docs, rank)).unionAll(shared).write.parquet(f"{folder}/postings")
     release(spark)
     posted = spark.read.parquet(f"{folder}/postings")
-    expanded = posted.join(members.select("g", "e", "n", "hist"), "g").select("h", "e", "n", "hist")
+    expanded = posted.join(members.select("g", "e", "n", "odd"), "g").select("h", "e", "n", "odd")
     candidate_pairs(dealt(expanded, False), labelled=False).write.parquet(f"{folder}/pairs-0")
     pairs = spark.read.parquet(f"{folder}/pairs-0")
     # The texts of all sets that may link with any, fetched once. Parts of a large posting have not met each other yet: all its members may.

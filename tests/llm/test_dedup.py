@@ -75,13 +75,14 @@ def test_leaders_leave_nobody_out(monkeypatch):
     rnd = np.random.default_rng(2)
     for block in (3, 50):
         monkeypatch.setattr(jaccard_join, "BLOCK", block)
-        base = rnd.integers(0, 6, (4, jaccard_join.BINS))
-        hist = np.maximum(base[rnd.integers(0, 4, 40)] + rnd.integers(-1, 2, (40, jaccard_join.BINS)), 0).astype(np.uint8)
-        n = hist.sum(1).astype(np.int64)
+        base = rnd.integers(0, 1 << 63, (4, jaccard_join.BITS // 64), dtype=np.uint64)
+        flips = np.packbits(rnd.random((40, jaccard_join.BITS)) < 0.02, axis=1).view(np.uint64)
+        odd = base[rnd.integers(0, 4, 40)] ^ flips
+        n = rnd.integers(180, 220, 40)
         own = np.argsort(n, kind="stable")
-        full = jaccard_join.may_link(n, hist, n, hist) > 0
+        full = jaccard_join.may_link(n, odd, n, odd) > 0
         np.fill_diagonal(full, False)
-        pairs = {(int(x), int(y)) for xs, ys, _ in jaccard_join._to_leaders(own, n, hist) for x, y in zip(xs, ys, strict=True)}
+        pairs = {(int(x), int(y)) for xs, ys, _ in jaccard_join._to_leaders(own, n, odd) for x, y in zip(xs, ys, strict=True)}
         assert {i for p in pairs for i in p} == set(np.flatnonzero(full.any(1)).tolist())
         assert all(full[x, y] for x, y in pairs)
 
