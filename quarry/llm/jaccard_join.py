@@ -3,7 +3,7 @@
 Words are shingled, and the distinct shingles of a document ordered by a fixed-size count sketch, the rarer first. Two sets that are similar enough
 share a shingle of their prefixes. Documents with the same prefix and size are one group, and only groups are posted under the prefix shingles;
 postings that stand alone go. The groups left are expanded into their members (distinct sets), and pairs of members whose
-parity bits allow the overlap are verified on the whole texts.
+parity bits allow the overlap (first BITS of them, then several for each shingle) are verified on the whole texts.
 
 A posting with many members is first joined to a few leaders; a second pass then takes all pairs whose ends are still in different components. So links
 inside a component that is already known are not looked for, and no link between components is lost."""
@@ -28,6 +28,8 @@ NUM, DEN = 80, 100
 #: Cells of the count sketch (its size never grows), and parity bits of a set.
 SKETCH_BITS = 18
 BITS = 512
+#: Parity bits that a set in a candidate pair has: a power of two, at least so many for each shingle, up to WIDEST.
+WIDE, WIDEST = 4, 1 << 16
 #: Members of a posting that are compared at once.
 BLOCK = 512
 #: A posting of so many members is small; one of more than MANY is dealt out to several tasks.
@@ -338,6 +340,52 @@ def dealt(expanded: DataFrame, pairwise: bool) -> DataFrame:
     return both.withColumn("key", F.expr("CASE WHEN parts IS NULL THEN h ELSE xxhash64(h, s) END"))
 
 
+def wide_bits(h: np.ndarray) -> bytes:
+    """The set's parity bits, WIDE for each shingle; the halves of a longer string, one XOR the other, are the shorter string."""
+    size = BITS
+    while size < min(WIDE * len(h), WIDEST):
+        size *= 2
+    return np.packbits((np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many bits two strings of wide_bits() differ, at the shorter one's length."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
+def with_bits(texts: DataFrame) -> DataFrame:
+    """e, text, n and wide (wide_bits) of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, rows, row, h in each_set(batch, 1):
+                at = np.searchsorted(row, np.arange(rows + 1))
+                wide = [wide_bits(h[x:y]) for x, y in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, rows), batch.column(1).slice(a, rows), pa.array(np.diff(at).astype(np.int64)), pa.array(wide, pa.binary())], ["e", "text", "n", "wide"])
+
+    return texts.mapInArrow(run, "e long, text string, n long, wide binary")
+
+
+def plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b and the closer bound q of the pairs that wide parity bits still allow. No link is lost: sets differ in at least as many shingles as bits."""
+    one = pairs.join(texts.select(F.col("e").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x")), "a")
+    both = one.join(texts.select(F.col("e").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y")), "b").select("a", "b", "na", "nb", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            differ = np.array([differing(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            q = likeness(n, m, differ)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(q.astype(np.int32))], ["a", "b", "q"]).filter(pa.array(q > 0))
+
+    return both.mapInArrow(run, "a long, b long, q int")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose whole texts' shingle sets are similar enough. texts: e, text."""
     one = pairs.join(texts.select(F.col("e").alias("a"), F.col("text").alias("x")), "a")
@@ -390,9 +438,11 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = ends.join(members.select("e", "rep"), "e").withColumnRenamed("e", "end")
     keyed = sets.select("doc_id", "t", "e").join(wanted, (F.col("e") == F.col("end")) & (F.col("doc_id") == F.col("rep"))).select("e", "doc_id", "t").dropDuplicates(["e"])
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    rows.join(keyed, ["doc_id", "t"]).select("e", "text").dropDuplicates(["e"]).write.option("compression", "zstd").parquet(f"{folder}/texts")
+    with_bits(rows.join(keyed, ["doc_id", "t"]).select("e", "text").dropDuplicates(["e"])).write.option("compression", "zstd").parquet(f"{folder}/texts")
     release(spark)
     texts = spark.read.parquet(f"{folder}/texts")
+    plausible(pairs, texts).write.parquet(f"{folder}/near-0")
+    pairs = spark.read.parquet(f"{folder}/near-0")
     # First each member with two partners: the likeliest and the one with the smallest key, where stars grow.
     asked = pairs.groupBy("a").agg(F.max_by("b", F.struct("q", "b")).alias("near"), F.min("b").alias("low"))
     asked = asked.select("a", F.explode(F.array_distinct(F.array("near", "low"))).alias("b"))
@@ -412,7 +462,7 @@ def classes(docs: DataFrame) -> DataFrame:
         open_h = split.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
         left = candidate_pairs(dealt(split.join(open_h, "h"), True), labelled=True).join(done, ["a", "b"], "left_anti")
         k += 1
-        left.write.parquet(f"{folder}/left-{k}")
+        plausible(left, texts).write.parquet(f"{folder}/left-{k}")
         left = spark.read.parquet(f"{folder}/left-{k}")
         n_left = left.count()
         if not n_left:
