@@ -87,6 +87,21 @@ def test_leaders_leave_nobody_out(monkeypatch):
         assert all(full[x, y] for x, y in pairs)
 
 
+def test_parity_bits_lose_no_link():
+    """Sets differ in at least as many shingles as their bits do, at equal and at different lengths of the strings."""
+    rnd = np.random.default_rng(5)
+    for n, m in ((1, 1), (40, 50), (127, 129), (600, 500), (3000, 2500), (40_000, 33_000)):
+        h = np.unique(rnd.integers(0, 1 << 63, n + m, dtype=np.uint64))
+        x, y = h[:n], h[n // 10 : n // 10 + m]
+        apart = len(np.setxor1d(x, y))
+        differ = jaccard_join.differing(jaccard_join.wide_bits(x), jaccard_join.wide_bits(y))
+        assert differ <= apart and (apart - differ) % 2 == 0
+        inter = len(np.intersect1d(x, y))
+        q = jaccard_join.likeness(np.array([len(x)]), np.array([len(y)]), np.array([differ]))[0]
+        if 100 * inter >= 80 * (len(x) + len(y) - inter):
+            assert q >= 10_000 * inter // (len(x) + len(y) - inter)
+
+
 def test_jaccard_edges(spark, edge, empty):
     got = defaultdict(list)
     for r in jaccard_join.classes(edge).collect():
