@@ -6,7 +6,8 @@ postings that stand alone go. The groups left are expanded into their members (d
 parity bits allow the overlap (first BITS of them, then several for each shingle) are verified on the whole texts.
 
 A posting with many members is first joined to a few leaders; a second pass then takes all pairs whose ends are still in different components. So links
-inside a component that is already known are not looked for, and no link between components is lost."""
+inside a component that is already known are not looked for there, and no link between components is lost. As both ends of a link are in one component, the
+components' own pairs are compared last, in chunks of bounded size: that finds every link."""
 
 from __future__ import annotations
 
@@ -37,6 +38,10 @@ FEW = 8
 #: After so many rounds that ask one pair for each two components, all pairs that are left are asked.
 ROUNDS = 3
 MANY = 20_000
+#: A component with more members, or more shingles in all, is compared in chunks of about so many; any two chunks meet in one key.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+#: Cells of the tables that count shared shingles at once.
+CELLS = 1 << 22
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -409,11 +414,77 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def shared_shingles(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """How many shingles each two of the sets share, as a matrix; exact, as float32 holds whole numbers up to 2 ** 24."""
+    by = np.argsort(h, kind="stable")
+    row, edge = row[by], bounds(h[by])
+    count = np.diff(edge)
+    row, count = row[np.repeat(count > 1, count)], count[count > 1]
+    place = np.repeat(np.arange(len(count)), count)
+    out = np.zeros((rows, rows), np.float32)
+    width = max(CELLS // rows, 1)
+    for at in range(0, len(count), width):
+        x, y = np.searchsorted(place, [at, at + width])
+        table = np.zeros((rows, min(width, len(count) - at)), np.float32)
+        table[row[x:y], place[x:y] - at] = 1
+        out += table @ table.T
+    return out.astype(np.int64)
+
+
+def links_within(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, a > b, of every link. nodes: e, label, parts (chunks of its component), of all members of the components; texts: e, text."""
+    at = nodes.withColumn("s", F.expr("pmod(xxhash64(e), parts)")).withColumn("o", F.explode(F.expr("sequence(0L, parts - 1L)")))
+    at = at.select("e", F.expr("xxhash64(label, least(s, o), greatest(s, o))").alias("key"), "s", (F.col("s") == F.col("o")).alias("own"))
+    met = at.join(texts.select("e", "text"), "e").select("key", "e", "s", "own", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, "key"):
+            keys, e, s, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "e", "s", "own"))
+            data, offsets = X.flat(batch.column("text"))
+            edge = bounds(keys)
+            for x, y in zip(edge, edge[1:], strict=False):
+                if y - x < 2:
+                    continue
+                row, h = shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+                n = np.bincount(row, minlength=y - x)
+                inter = shared_shingles(row, h, y - x)
+                ok = (inter > 0) & (DEN * inter >= NUM * (n[:, None] + n[None, :] - inter))
+                # The two chunks of a key meet there; a chunk's own pairs have a key of their own.
+                ok &= own[x:y, None] & own[None, x:y] | (s[x:y, None] != s[None, x:y])
+                i, j = np.nonzero(ok & (e[x:y, None] > e[None, x:y]))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(e[x:y][i]), pa.array(e[x:y][j])], ["a", "b"])
+
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, t, n_shingles, n_links, component_id of every row; t: xxhash64 of the text (repeated ids may have several).
 
-    n_links counts the verified links that were needed to tell the row's set from others: classes with the same set count none. component_id is the smallest doc_id reachable. Rows
+    n_links counts the other distinct sets that the row's set links with: classes with the same set count none. component_id is the smallest doc_id reachable. Rows
     without words link with nothing. Repeated rows have the same set. A null id takes no part in the minimum; a component of null ids alone has null."""
+    sets, known, texts = grouped(docs)
+    links = links_within(known.where("size > 2").select("e", "label", "parts"), texts)
+    degree = links.select(F.explode(F.array("a", "b")).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+    # Two members that are a component are linked.
+    some = known.where("size > 2").join(degree, "e").select("e", "n").unionAll(known.where("size = 2").select("e", F.lit(1).cast("long").alias("n")))
+    return labelled_rows(sets, known).join(some.withColumnRenamed("n", "n_links"), "e", "left").select("doc_id", "t", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
+
+
+def link_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b of every link between two distinct sets, and the membership beside them: doc_id, t, e of every row."""
+    sets, known, texts = grouped(docs)
+    return links_within(known.where("size > 1").select("e", "label", "parts"), texts), sets.where("n > 0").select("doc_id", "t", "e")
+
+
+def labelled_rows(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, t, e (null without words), n_shingles, component_id of every row."""
+    found = sets.join(known.select(F.col("e").alias("end"), "component"), (F.col("e") == F.col("end")) & (F.col("n") > 0), "left")
+    return found.select("doc_id", "t", F.expr("CASE WHEN n > 0 THEN e END").alias("e"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (set_rows), the distinct sets (e, label, component, size: the sets in it, parts: its chunks), and e, text of all that may link."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     rank = ranks(sketch(docs))
     set_rows(docs, rank).write.parquet(f"{folder}/sets")
@@ -474,17 +545,17 @@ def classes(docs: DataFrame) -> DataFrame:
             of = labelled.select("e", "label")
             both = left.join(of.select(F.col("e").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("e").alias("b"), F.col("label").alias("lb")), "b")
             asked = both.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.max_by(F.struct("a", "b"), F.struct("q", "a", "b")).alias("p")).select("p.a", "p.b")
-    degree = links.select(F.col("a").alias("e")).unionAll(links.select(F.col("b").alias("e"))).groupBy("e").agg(F.count(F.lit(1)).alias("n_links"))
-    known = members.join(labels.select(F.col("node").alias("e"), "label"), "e", "left").select("e", "rep", F.coalesce("label", "e").alias("label"))
-    least = known.groupBy("label").agg(F.min("rep").alias("component"))
-    known = known.join(least, "label").join(degree, "e", "left").select("e", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sets.join(known, (sets.e == known.e) & (sets.n > 0), "left").select("doc_id", "t", sets.n.alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out
+    known = members.join(labels.select(F.col("node").alias("e"), "label"), "e", "left").select("e", "rep", "n", F.coalesce("label", "e").alias("label"))
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES))
+    least = known.groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("size"), chunks.alias("parts"))
+    known.join(least, "label").select("e", "label", "component", "size", "parts").write.parquet(f"{folder}/known")
+    return sets, spark.read.parquet(f"{folder}/known"), texts
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of the smallest doc_id of each component, with their columns; a repeated row stays once. Rows with a null id all stay."""
-    keep = classes(docs).where("component_id = doc_id").select("doc_id", "t")
+    sets, known, _ = grouped(docs)
+    keep = labelled_rows(sets, known).where("component_id = doc_id").select("doc_id", "t")
     known = docs.where("doc_id IS NOT NULL").withColumn("_t", F.xxhash64("text"))
     kept = known.join(keep, (known.doc_id == keep.doc_id) & (known._t == keep.t), "left_semi").dropDuplicates(["doc_id", "_t"]).drop("_t")
     return kept.unionAll(docs.where("doc_id IS NULL"))

@@ -70,6 +70,28 @@ def test_jaccard_dealt_out(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == label
 
 
+@pytest.mark.parametrize("chunk", [512, 7])
+def test_jaccard_all_links(spark, monkeypatch, chunk):
+    """n_links and the pairs have every link, also those inside a group that is already connected."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*base[: 7 * i], f"other{i}", *base[7 * i + 1 :]])) for i in range(40)] + [(100 + i, t) for i, t in near_copies(30)]
+    sets, _ = brute_components(rows)
+    distinct = {frozenset(v): i for i, v in sorted(sets.items(), reverse=True)}
+    ids = sorted(distinct.values())
+    want = {(x, y) for x in ids for y in ids if x > y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    assert len([p for p in want if p[0] < 40]) == 780
+    degree = Counter(i for p in want for i in p)
+    docs = frame(spark, rows).repartition(3)
+    assert {r.doc_id: r.n_links for r in jaccard_join.classes(docs).collect()} == {i: degree[distinct[frozenset(sets[i])]] for i in sets}
+    pairs, membership = jaccard_join.link_pairs(docs)
+    of = {}
+    for r in membership.collect():
+        of[r.e] = min(r.doc_id, of.get(r.e, r.doc_id))
+    got = [tuple(sorted((of[r.a], of[r.b]), reverse=True)) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_leaders_leave_nobody_out(monkeypatch):
     """Every member that may link with any is in a pair, and in blocks of any size."""
     rnd = np.random.default_rng(2)
