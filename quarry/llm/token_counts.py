@@ -20,6 +20,8 @@ from quarry.llm.pretoken import split
 
 #: Pre-tokens whose counts a worker keeps.
 KEPT = 300_000
+#: The encoding of a prefix differs from that of the whole text in no more pre-tokens than these, its last ones.
+BACK = 4
 
 
 def byte_letters() -> dict[str, int]:
@@ -144,24 +146,26 @@ class PrefixCounter:
     def count_at(self, text: str, n_bytes: int, table: tuple[list[int], list[int]] | None = None) -> int:
         """Tokens of the first n_bytes bytes (cut back to a whole code point), as encoding that prefix alone gives them.
 
-        Pre-tokens end where the same text ended them before, but for the last two: the white space before a cut may go on to it."""
+        Pre-tokens end where the same text ended them before, but for the last ones: white space before a cut is one pre-token."""
         at, counts = table or self.table(text)
         k = max(0, bisect_right(at, n_bytes) - 2)
         data = text.encode()
+        while k and data[at[k] : at[k + 1]].decode().isspace():
+            k -= 1
         tail = data[at[k] : n_bytes].decode("utf-8", "ignore")
         return counts[k] + self.count(tail)
 
     def cut(self, text: str, budget: int) -> int:
-        """Bytes of the longest prefix of whole code points with at most budget tokens such that no shorter prefix has more."""
+        """Bytes of the longest prefix of whole code points with at most budget tokens. Counts aren't monotone: a prefix may fit behind one that doesn't."""
         table = at, counts = self.table(text)
-        k = max(0, bisect_right(counts, budget) - 2)
-        ends, best = at[k], at[k]
-        for c in text.encode()[at[k] :].decode():
-            ends += len(c.encode())
-            if self.count_at(text, ends, table) > budget:
-                break
-            best = ends
-        return best
+        # count_at() counts anew from BACK pre-tokens before the cut at most, so a prefix behind this bound has more tokens than the budget.
+        start = bisect_right(counts, budget - 1) - 1
+        low, ends = at[max(0, bisect_right(counts, budget) - 1 - BACK)], at[min(len(at) - 1, start + BACK + 1)]
+        for c in reversed(text.encode()[low:ends].decode()):
+            if self.count_at(text, ends, table) <= budget:
+                return ends
+            ends -= len(c.encode())
+        return low
 
 
 @lru_cache(2)

@@ -60,6 +60,16 @@ def test_prefixes_and_budgets(library):
             assert c.count(cut) <= budget
 
 
+def test_cut_is_the_longest_prefix(library):
+    """Against the maximum over all prefixes; the counts of ' worthless' fall and rise again."""
+    c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" worthless", "a worthless, priceless thing\n\nthey're worthless   indeed", "naïve 日本語 🎉🎉 xyzzy worthless"):
+        sizes = [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        for budget in range(max(sizes) + 2):
+            most = max(k for k, n in enumerate(sizes) if n <= budget)
+            assert c.cut(text, budget) == len(text[:most].encode())
+
+
 def test_truncate(spark, edge):
     got = {r.doc_id: r.text for r in token_counts.truncate(edge.where("doc_id IN (4, 6)"), 10).collect()}
     assert got[4] is None and len(got[6]) < 100
