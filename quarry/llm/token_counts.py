@@ -2,14 +2,16 @@
 
 For each distinct pre-token a dynamic program over its bytes stores how many tokens each prefix has: the last token of a prefix is the one
 whose pair with the last token before it survives the merges, and there is exactly one. A document's prefix counts are the running sums over
-its pre-tokens, so truncation and budget questions need no further encoding."""
+its pre-tokens and, inside one, that pre-token's own prefix counts, so truncation and budget questions are lookups. Only where a cut makes other pre-tokens of
+the text before it (in white space after white space, in an apostrophe's ending, in an added token) are those few encoded anew."""
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,6 +24,8 @@ from quarry.llm.pretoken import split
 KEPT = 300_000
 #: The encoding of a prefix differs from that of the whole text in no more pre-tokens than these, its last ones.
 BACK = 4
+#: Pre-tokens whose first two characters are two pre-tokens where the text ends there.
+ENDINGS = {"'re", "'ve", "'ll"}
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,6 +56,7 @@ class PrefixCounter:
         self.spines: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.total: dict[str, int] = {}
+        self.inner: dict[str, Sequence[int]] = {}
 
     def spine(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
         """The parts that stood at one end of a token (side 1: the right end) while it was merged, each with the rank of the merge that took it."""
@@ -108,12 +113,16 @@ class PrefixCounter:
             before = data
             yield at
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: set[str], inner: bool = False) -> None:
+        """inner: also the counts of all their prefixes, which whole texts' totals don't need."""
         if len(self.total) > KEPT:
             self.total.clear()
-        new = sorted((w.encode(), w) for w in pieces - self.total.keys())
+            self.inner.clear()
+        new = sorted((w.encode(), w) for w in pieces - (self.inner if inner else self.total).keys())
         for (_, w), at in zip(new, self.prefixes([d for d, _ in new]), strict=True):
             self.total[w] = at[-1]
+            if inner:
+                self.inner[w] = bytes(at) if len(at) <= 256 else array("I", at)
 
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """Pre-tokens in order; True: an added token."""
@@ -138,31 +147,49 @@ class PrefixCounter:
         at, counts = [0], [0]
         for w, whole in self.pieces(text):
             at.append(at[-1] + len(w.encode()))
-            if not whole and w not in self.total:
-                self.learn({w})
+            if not whole and w not in self.inner:
+                self.learn({w}, inner=True)
             counts.append(counts[-1] + (1 if whole else self.total[w]))
         return at, counts
 
     def count_at(self, text: str, n_bytes: int, table: tuple[list[int], list[int]] | None = None) -> int:
         """Tokens of the first n_bytes bytes (cut back to a whole code point), as encoding that prefix alone gives them.
 
-        Pre-tokens end where the same text ended them before, but for the last ones: white space before a cut is one pre-token."""
+        Looked up; encoded are only pre-tokens that the cut changes."""
         at, counts = table or self.table(text)
-        k = max(0, bisect_right(at, n_bytes) - 2)
-        data = text.encode()
-        while k and data[at[k] : at[k + 1]].decode().isspace():
+        return self._count_at(text.encode(), n_bytes, at, counts)
+
+    def _count_at(self, data: bytes, n_bytes: int, at: list[int], counts: list[int]) -> int:
+        n_bytes = max(0, min(n_bytes, len(data)))
+        while n_bytes < len(data) and data[n_bytes] & 0xC0 == 0x80:
+            n_bytes -= 1
+        k = bisect_right(at, n_bytes) - 1
+        piece = lambda i: data[at[i] : at[i + 1]].decode()
+        if at[k] == n_bytes:
+            blank = k > 1 and piece(k - 1).isspace() and piece(k - 2).isspace()
+            if not blank:
+                return counts[k]
+        else:
+            whole, part = piece(k), data[at[k] : n_bytes].decode()
+            blank = k > 0 and part.isspace() and piece(k - 1).isspace()
+            added = self.added and self.added.fullmatch(whole)
+            if not (blank or added or whole in ENDINGS and len(part) > 1):
+                if whole not in self.inner:
+                    self.learn({whole}, inner=True)
+                return counts[k] + self.inner[whole][n_bytes - at[k]]
+        k = max(0, k - 1)
+        while k and piece(k).isspace():
             k -= 1
-        tail = data[at[k] : n_bytes].decode("utf-8", "ignore")
-        return counts[k] + self.count(tail)
+        return counts[k] + self.count(data[at[k] : n_bytes].decode())
 
     def cut(self, text: str, budget: int) -> int:
         """Bytes of the longest prefix of whole code points with at most budget tokens. Counts aren't monotone: a prefix may fit behind one that doesn't."""
-        table = at, counts = self.table(text)
+        data, (at, counts) = text.encode(), self.table(text)
         # count_at() counts anew from BACK pre-tokens before the cut at most, so a prefix behind this bound has more tokens than the budget.
         start = bisect_right(counts, budget - 1) - 1
         low, ends = at[max(0, bisect_right(counts, budget) - 1 - BACK)], at[min(len(at) - 1, start + BACK + 1)]
-        for c in reversed(text.encode()[low:ends].decode()):
-            if self.count_at(text, ends, table) <= budget:
+        for c in reversed(data[low:ends].decode()):
+            if self._count_at(data, ends, at, counts) <= budget:
                 return ends
             ends -= len(c.encode())
         return low
@@ -195,7 +222,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512) ->
 
 
 def prefix_tables(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ends, counts: the stored prefix counts of every row, at the ends of its pre-tokens."""
+    """doc_id, ends, counts: the running sums of every row at the ends of its pre-tokens. Counts inside a pre-token are the same in every text: PrefixCounter.inner."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(path or tokenizer_path("byte_bpe_50k.json"))

@@ -70,6 +70,20 @@ def test_cut_is_the_longest_prefix(library):
             assert c.cut(text, budget) == len(text[:most].encode())
 
 
+def test_prefix_counts_are_looked_up(library, monkeypatch):
+    c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "they've a worthless\n\nthing, " + "日本語 naïve" * 3 + "x" * 400 + "!<|endoftext|>  '\n\n we'll"
+    table = c.table(text)
+    ends = [len(text[:k].encode()) for k in range(len(text) + 1)]
+    assert [c.count_at(text, n, table) for n in ends] == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    plain = "a worthless, priceless thing 12345 " + "x" * 400
+    table = c.table(plain)
+    monkeypatch.setattr(c, "counts", None)  # no encoding
+    monkeypatch.setattr(c, "learn", None)
+    assert c.count_at(plain, len(plain), table) == table[1][-1] and c.count_at(plain, 6, table) == 3
+    c.cut(plain, 5)
+
+
 def test_truncate(spark, edge):
     got = {r.doc_id: r.text for r in token_counts.truncate(edge.where("doc_id IN (4, 6)"), 10).collect()}
     assert got[4] is None and len(got[6]) < 100
