@@ -17,8 +17,8 @@ BITS = 20
 PER_CLASS = 1000
 #: So many features at most, those with the largest evidence, get a weight.
 FEATURES = 3_000
-#: An n-gram counts if so many rows of the sample hold it at least.
-SUPPORT = 10
+#: An n-gram counts if rows of the sample hold it that are this share of the rarer class at least, but no fewer than LEAST and no more than SUPPORT need be.
+SUPPORT_SHARE, LEAST, SUPPORT = 0.03, 2, 10
 
 
 def gram_ids(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +67,8 @@ class NaiveBayesLinear:
         one, zero = target.sum(), len(target) - target.sum()
         p, q = np.bincount(col[(target == 1)[row]], minlength=size), np.bincount(col[(target == 0)[row]], minlength=size)
         ratio = np.log((p + 1) / (one + 2)) - np.log((q + 1) / (zero + 2))
-        evidence = np.abs(ratio) * np.sqrt(p + q) * (p + q >= SUPPORT)
+        support = max(LEAST, min(SUPPORT, int(SUPPORT_SHARE * min(one, zero))))
+        evidence = np.abs(ratio) * np.sqrt(p + q) * (p + q >= support)
         kept = np.sort(np.argsort(-evidence, kind="stable")[:FEATURES])
         kept = kept[evidence[kept] > 0]
         place = np.full(size, -1, np.int64)

@@ -139,6 +139,19 @@ def test_classifier_edges(spark, edge, empty, module):
     assert len({r.score for r in module.score(edge, blank).collect()}) == 1
 
 
+def test_rare_toxic_words_count():
+    """A word in five of few toxic rows tells, though fewer than ten rows hold it."""
+    rnd = random.Random(4)
+    words = [f"{rnd.choice('bcdfg')}{rnd.choice('aeiou')}{rnd.choice('klmnp')}{rnd.choice('aeiou')}{rnd.choice('rstvw')}" for _ in range(60)]
+    some = lambda: [rnd.choice(words) for _ in range(30)]
+    texts = [" ".join(some()) for _ in range(40)] + [" ".join([*some(), "zxqhyj", *some()]) for _ in range(5)]
+    model = toxicity.NaiveBayesLinear.fit(texts, [0] * 40 + [1] * 5)
+    held = [" ".join([*some(), "zxqhyj"]) for _ in range(20)] + [" ".join(some()) for _ in range(20)]
+    data = [t.encode() for t in held]
+    got = model.score(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert (got[:20] >= 0.5).all() and (got[20:] < 0.5).all()
+
+
 def test_drop_toxic(spark, edge):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     kept = toxicity.drop_toxic(edge, labels)
