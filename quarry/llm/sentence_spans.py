@@ -14,8 +14,9 @@ from quarry.llm import textops as X
 
 SPAN_SENTENCES = 2
 SPAN_WORDS = 12
-#: A sentence with more words also ends at commas, colons and semicolons.
+#: A sentence with more words also ends at commas, colons and semicolons; what is still longer, at words that their hash picks, one of so many.
 LONG_WORDS = 24
+PICKED = 6
 
 _STOP, _PAUSE = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(b".!?")] = True
@@ -25,7 +26,8 @@ _PAUSE[list(b",;:")] = True
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First word of each sentence (and one entry more), its row, where it begins in data, and the hashes of all words.
 
-    A sentence ends at a word that ends in a full stop, exclamation or question mark, before a line feed, and with its row."""
+    A sentence ends at a word that ends in a full stop, exclamation or question mark, before a line feed, and with its row. The bounds inside a long one depend
+    on its words alone, so a passage has the same ones in other surroundings."""
     start, end, before = X.words(data, offsets)
     n = len(start)
     if not n:
@@ -41,7 +43,12 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     long = np.repeat(np.diff(first) > LONG_WORDS, np.diff(first))
     stop |= long & _PAUSE[data[end - 1]]
     first = np.concatenate([[0], np.flatnonzero(stop) + 1])
-    return first, row[first[:-1]], start[first[:-1]], X.span_hashes(X.LOWER[data], start, end)
+    hashes = X.span_hashes(X.LOWER[data], start, end)
+    long = np.repeat(np.diff(first) > LONG_WORDS, np.diff(first))
+    # A word that the one before equals is a bound too: a run of one word has no other.
+    stop |= long & ((X.mix(hashes) % np.uint64(PICKED) == 0) | np.append(False, hashes[1:] == hashes[:-1]))
+    first = np.concatenate([[0], np.flatnonzero(stop) + 1])
+    return first, row[first[:-1]], start[first[:-1]], hashes
 
 
 def spans(first: np.ndarray, row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -212,6 +212,19 @@ def test_repeated_bytes(spark, empty, monkeypatch, many):
     assert suffix_dedup.kept_texts(empty).count() == 0
 
 
+def test_unpunctuated_passages(spark):
+    """A repeated passage without any punctuation, and a run of one word, have bounds of their own."""
+    rnd = random.Random(8)
+    some = lambda n: " ".join(f"w{rnd.randrange(10_000)}" for _ in range(n))
+    passage, junk = some(80), " ".join(["and"] * 90)
+    rows = [(1, f"{some(30)} {passage} {some(40)}"), (2, f"{some(45)} {passage} {some(20)}"), (3, f"{some(9)} {junk}"), (4, junk + " " + some(31))]
+    got = {r.doc_id: r for r in sentence_spans.dedup_spans(frame(spark, rows)).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed > 0 and got[4].n_removed > 0
+    left = got[2].text.split()
+    assert len(left) <= 145 - 50 and left[:40] == rows[1][1].split()[:40] and left[-15:] == rows[1][1].split()[-15:]
+    assert got[4].text.split().count("and") < 20
+
+
 def test_sentence_spans(spark, edge, empty):
     same = "Seven wizards walked over the stone bridge. They mixed potions near the river at dawn. Nobody saw them leave the town again."
     rows = [(1, "An opening of its own here. " + same), (2, "Another opening, quite unlike. " + same + " And its own end."), (3, "Nothing of it is here at all. Only two sentences stand in this text.")]
