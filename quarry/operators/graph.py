@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import fingerprint, hamming, simhash64
+from quarry.sources.stored import saved
 
 
 def edges(outlinks: DataFrame) -> DataFrame:
@@ -48,17 +51,26 @@ def simhashes(docs: DataFrame, docid: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(docid).alias("docid"), simhash64(F.col(text)).alias("simhash"))
 
 
-def near_pairs(hashes: DataFrame, most: int = 3) -> DataFrame:
-    """a < b and distance of distinct hashes at most so far apart (up to 3: hashes that close agree in one of four bands of 16 bits).
+#: A hash's blocks of bits: two hashes within NEAR bits agree in at least len(BLOCKS) - NEAR of them, so in all blocks of one of the tables.
+NEAR = 3
+BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+TABLES = [sum(((1 << width) - 1) << at for at, width in some) for some in combinations(BLOCKS, len(BLOCKS) - NEAR)]
+
+
+def near_pairs(hashes: DataFrame, most: int = NEAR) -> DataFrame:
+    """a < b and distance of distinct hashes at most so far apart (up to NEAR).
 
-    Equal hashes are one class, so groups of copies are no burden; members() tells who they are."""
-    if most > 3:
-        raise ValueError("four bands find pairs up to a distance of 3")
-    reps = hashes.select("simhash").distinct()
-    bands = reps.select("simhash", F.posexplode(F.array(*[F.expr(f"shiftrightunsigned(simhash, {16 * k}) & 65535") for k in range(4)])).alias("band", "bits"))
-    a, b = bands.alias("a"), bands.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.simhash") < F.col("b.simhash")) & (hamming(F.col("a.simhash"), F.col("b.simhash")) <= most))
-    return pairs.select(F.col("a.simhash").alias("a"), F.col("b.simhash").alias("b"), hamming(F.col("a.simhash"), F.col("b.simhash")).alias("distance")).distinct()
+    Each hash is looked up in 20 tables by 31 to 33 of its bits, so few pairs meet by chance, however many hashes there are. Equal hashes are one class,
+    so groups of copies are no burden; members() tells who they are. The distinct hashes are stored first: they are worked out once."""
+    if not 0 <= most <= NEAR:
+        raise ValueError(f"the tables find pairs up to a distance of {NEAR}")
+    reps = saved(hashes.select("simhash").where("simhash IS NOT NULL").distinct())
+    masks = F.array(*[F.lit(m if m < 1 << 63 else m - (1 << 64)) for m in TABLES])
+    keyed = reps.select("simhash", F.posexplode(masks).alias("which", "mask")).select("simhash", "which", F.col("simhash").bitwiseAND(F.col("mask")).alias("bits"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    apart = hamming(F.col("a.simhash"), F.col("b.simhash"))
+    pairs = a.join(b, (F.col("a.which") == F.col("b.which")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.simhash") < F.col("b.simhash")) & (apart <= most))
+    return pairs.select(F.col("a.simhash").alias("a"), F.col("b.simhash").alias("b"), apart.alias("distance")).distinct()
 
 
 def members(hashes: DataFrame) -> DataFrame:
