@@ -99,6 +99,10 @@ def canonicalize_url(urls: pa.Array) -> pa.Array:
     return pa.array([canonical(u) for u in urls.to_pylist()], pa.string())
 
 
+#: Not to be worked out again where the plan refers to it twice.
+canonicalize_url = canonicalize_url.asNondeterministic()
+
+
 def host_of(canon: Column) -> Column:
     """Host without a numeric port."""
     return F.regexp_extract(canon, r"^[a-z]+://([^/:?]*)", 1)

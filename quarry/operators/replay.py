@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.ordered import numbered
+
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
 
 
@@ -23,7 +25,7 @@ def report(outcomes: DataFrame, budget: float) -> DataFrame:
 def arrivals(ids: DataFrame, qps: float, seed: int = 1, key: str = "id") -> DataFrame:
     """at: the open-loop arrival time in seconds of each id, gaps exponential."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    return ids.withColumn("gap", -F.log(u) / qps).withColumn("at", F.sum("gap").over(Window.orderBy(key)))
+    return numbered(ids.withColumn("gap", -F.log(u) / qps), [key], "_place", ("gap", "at")).drop("_place")
 
 
 def governed(elapsed: Column, budget: Column) -> Column:

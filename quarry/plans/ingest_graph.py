@@ -11,6 +11,7 @@ from quarry.operators import ingest as N
 from quarry.plans.common import table
 from quarry.plans.registry import query
 from quarry.sources.html import links, page_fields
+from quarry.sources.warc import packed, parsed
 
 _KEYS = ", ".join(f"'{k}'" for k in U.TRACKING + U.SESSION)
 #: The laws for the URL shapes of the table: no escapes, dot segments or user names.
@@ -67,7 +68,7 @@ def dates_to_ms(spark, d):
 @query("dedup_exact", "SELECT min(doc_id) AS doc_id, source, sha256(text) AS sha, count(*) AS copies FROM documents GROUP BY source, sha256(text)")
 def dedup_exact(spark, d):
     rows = table(spark, d, "documents").withColumn("sha", F.sha2("text", 256))
-    return rows.groupBy("source", "sha").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return N.copies(rows, ["source", "sha"], "doc_id")
 
 
 @query("dedup_first_wins", "SELECT doc_id, row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) > 1 AS dup FROM documents")
@@ -92,15 +93,39 @@ m AS (SELECT *, NOT short AND NOT rejected AND row_number() OVER (PARTITION BY s
 
 @query("import_stats", f"WITH {_RECORDS_SQL} SELECT count(*) FILTER (NOT short AND NOT rejected AND NOT dup) AS pages, count(*) FILTER (dup) AS dups, count(*) FILTER (rejected) AS rejected, count(*) FILTER (short) AS short FROM m")
 def import_stats(spark, d):
-    rows = N.outcomes(_records(spark, d))
-    kept = N.first_wins(N.hashed(rows.where("outcome = 'kept'"), 16), ["partition", "urlfp", "sha"])
-    return N.statistics(kept.select("outcome", "dup").unionAll(rows.where("outcome <> 'kept'").select("outcome", F.lit(False))))
+    return N.statistics(N.hashed(N.outcomes(_records(spark, d)), 16), N.PAGE_KEYS)
 
 
 @query("import_pages", f"WITH {_RECORDS_SQL} SELECT arrival, substr(sha256(url_canon), 1, 32) AS urlfp, sha256(text) AS sha FROM m WHERE NOT short AND NOT rejected AND NOT dup")
 def import_pages(spark, d):
     rows = N.hashed(N.outcomes(_records(spark, d)).where("outcome = 'kept'"), 16)
-    return N.first_wins(rows, ["partition", "urlfp", "sha"]).where("NOT dup").select("arrival", "urlfp", "sha")
+    return N.firsts(rows, N.PAGE_KEYS).select("arrival", "urlfp", "sha")
+
+
+def _crawl(spark, d):
+    """The records as a crawl's WARC files of 50 at most, taken apart again; places in a file begin anew with each."""
+    rows = _records(spark, d).select(F.lpad(F.expr("arrival DIV 50").cast("string"), 12, "0").alias("file"), F.col("arrival").alias("at"), "url", "text")
+    return parsed(packed(rows.select("*", F.lit("conversion").alias("type"), F.lit("2026-01-02T03:04:05Z").alias("date"))))
+
+
+_CRAWL_SQL = f"""{_RECORDS_SQL},
+k AS (SELECT *, ({FNV32_SQL.format("regexp_replace(host, ':[0-9]*$', '')")} % 16)::INT AS partition FROM m WHERE NOT short AND NOT rejected AND NOT dup),
+sealed AS (SELECT *, (row_number() OVER (PARTITION BY partition ORDER BY arrival) - 1) // 5 + 1 AS seq FROM k)"""
+
+
+@query("import_crawl", f"WITH {_CRAWL_SQL} SELECT row_number() OVER (ORDER BY partition, seq, arrival) - 1 AS docid, partition, seq, url_canon AS url, sha256(text) AS sha FROM sealed")
+def import_crawl(spark, d):
+    """Many files with a global order of arrival, segments of five rows, docids by arrival."""
+    pages = N.docids(N.import_records(_crawl(spark, d), 16, max_rows=5))
+    return pages.select("docid", "partition", "seq", "url", F.lower(F.hex("sha256")).alias("sha"))
+
+
+@query(
+    "import_crawl_stats",
+    f"WITH {_CRAWL_SQL} SELECT count(*) FILTER (NOT short AND NOT rejected AND NOT dup) AS pages, count(*) FILTER (dup) AS dups, count(*) FILTER (rejected) AS rejected, count(*) FILTER (short) AS short, (SELECT count(DISTINCT (partition, seq)) FROM sealed) AS segments FROM m",
+)
+def import_crawl_stats(spark, d):
+    return N.import_statistics(_crawl(spark, d), 16, max_rows=5)
 
 
 @query(
@@ -116,7 +141,7 @@ def segments_seal(spark, d):
 @query("segments_by_bytes")
 def segments_by_bytes(spark, d):
     rows = table(spark, d, "documents").select((F.col("doc_id") % 4).cast("int").alias("partition"), F.col("doc_id").alias("arrival"), "text", F.lit("").alias("url"))
-    return N.sealed_by_size(rows, max_rows=100, max_bytes=200_000)
+    return N.sealed_by_size(rows, max_rows=100, max_bytes=200_000).select("partition", "arrival", "seq")
 
 
 BITS_SQL = r"""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.ordered import numbered
+from quarry.sources.stored import saved
+
 #: Lengths that are drawn, each as likely as the others; fixed.
 LENGTHS = [1, 1, 2, 2, 2, 3, 3, 3, 4, 4, 5]
 
@@ -17,7 +20,7 @@ def read_query_log(spark: SparkSession, path: str) -> DataFrame:
 
 def bands(terms: DataFrame) -> DataFrame:
     """rank from 0 by df descending, and band: head (the first hundredth, one term at least), torso (to a fifth), tail."""
-    ranked = terms.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1)
+    ranked = numbered(terms.select("term", "df"), [F.desc("df"), F.col("term")], "rank")
     n = terms.agg(F.count(F.lit(1)).alias("n"))
     both = ranked.crossJoin(F.broadcast(n))  # one row
     head = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("n") / 100))
@@ -30,7 +33,7 @@ def synthesize(terms: DataFrame, queries: int, seed: int = 1) -> DataFrame:
 
     Draws are hashes of (seed, query, slot), so the log is a function of its arguments."""
     spark = terms.sparkSession
-    ranked = bands(terms)
+    ranked = saved(bands(terms))
     sizes = ranked.select("head", "torso", "n").limit(1)
     unit = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 30)) / float(1 << 30)
     ids = spark.range(queries).withColumnRenamed("id", "query_id")

@@ -1,4 +1,4 @@
-"""WARC/1.0 records as a Python data source; one file is one partition, as multistream gzip can't be split."""
+"""WARC/1.0 records of any number of files; one file is one task's, as multistream gzip can't be split."""
 
 from __future__ import annotations
 
@@ -43,8 +43,8 @@ def rows_of(name: str, content: bytes) -> Iterator[tuple]:
         yield name, i, h.get("warc-type", ""), h.get("warc-target-uri", ""), h.get("warc-date", ""), payload.decode("utf-8", "replace")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all files below a path that Spark reads; one task for each file."""
+def parsed(files: DataFrame) -> DataFrame:
+    """Records of files (path, content): the file, the record's place in it, type, url, date, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file", "arrival", "type", "url", "date", "text"]
@@ -61,14 +61,44 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of all files below a path that Spark reads; one task for each file."""
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def record(kind: str, url: str, date: str, text: str) -> bytes:
+    """One record as a gzip member."""
+    body = text.encode()
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\nContent-Length: {len(body)}\r\n\r\n"
+    return gzip.compress(head.encode() + body + b"\r\n\r\n")
+
+
 def write_warc(rows: list[dict], path: str) -> None:
-    """A gzip member for each record; for tests and small exports."""
+    """One file; for tests and small exports."""
     with open(path, "wb") as f:
         for r in rows:
-            body = r["text"].encode()
-            head = f"WARC/1.0\r\nWARC-Type: {r['type']}\r\nWARC-Target-URI: {r['url']}\r\nWARC-Date: {r.get('date', '')}\r\nContent-Length: {len(body)}\r\n\r\n"
-            f.write(gzip.compress(head.encode() + body + b"\r\n\r\n"))
+            f.write(record(r["type"], r["url"], r.get("date", ""), r["text"]))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """path, content: rows (file, at, type, url, date, text) as WARC files, each file's records in order of at. A file is a unit, so its rows should be few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+        for batch in batches:
+            done = []
+            for file, _, *fields in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != name and held:
+                    done.append((name, b"".join(held)))
+                    held = []
+                name = file
+                held.append(record(*(f or "" for f in fields)))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done]), pa.array([c for _, c in done], pa.binary())], ["path", "content"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(held)], pa.binary())], ["path", "content"])
+
+    return rows.select("file", "at", "type", "url", "date", "text").repartition("file").sortWithinPartitions("file", "at").mapInArrow(run, "path string, content binary")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import fold, graph, ingest
+from quarry.operators import fold, graph, ingest, ordered
 from quarry.sources import fixture, querylog, warc
 from quarry.streaming import fold as stream
 
@@ -112,6 +112,39 @@ def test_warc_import(spark, tmp_path):
         list(warc.records(__import__("io").BytesIO(b"no record\r\n")))
 
 
+def test_import_of_many_files(spark, tmp_path):
+    """Places begin anew in each file; the order is the file, then the place. Of equal pages the first stays, wherever the others are."""
+    body = lambda i: f"page number {i} with a text that is long enough for the importer to keep it as it is"
+    one = [("conversion", f"https://b.test/{i}", body(i)) for i in range(6)]
+    two = [("warcinfo", "", "x"), *[("conversion", f"https://b.test/{i}?utm_source=again", body(i)) for i in range(6)], *[("conversion", f"https://b.test/{i}", body(i)) for i in range(6, 11)], ("conversion", "https://b.test/12", "short"), ("conversion", "gopher://b.test/", body(13))]
+    for name, rows in (("b.warc.gz", two), ("a.warc.gz", one)):
+        warc.write_warc([{"type": k, "url": u, "text": t} for k, u, t in rows], str(tmp_path / name))
+    records = warc.read_warc(spark, str(tmp_path)).cache()
+    pages = ingest.docids(ingest.import_records(records, 1, max_rows=4)).orderBy("docid").collect()
+    assert [r.docid for r in pages] == list(range(11)) and [r.url for r in pages] == [f"https://b.test/{i}" for i in range(11)]
+    assert [r.seq for r in pages] == [1] * 4 + [2] * 4 + [3] * 3
+    assert ingest.import_statistics(records, 1, max_rows=4).first().asDict() == {"pages": 11, "dups": 6, "rejected": 1, "short": 1, "segments": 3}
+    none = ingest.import_statistics(records.where("false")).first()
+    assert (none.pages, none.dups, none.segments) == (0, 0, 0)
+
+
+def test_first_wins_with_null_keys(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (2, None, "x"), (3, "k", None), (4, "k", "x")], "arrival bigint, a string, b string")
+    assert {r.arrival: r.dup for r in ingest.first_wins(rows, ["a", "b"]).collect()} == {1: False, 2: True, 3: False, 4: False}
+    assert {r.arrival for r in ingest.firsts(rows, ["a", "b"]).collect()} == {1, 3, 4}
+
+
+def test_numbered_and_running_sums(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"), (F.col("id") % 13).alias("v")).repartition(5)
+    got = ordered.numbered(rows, [F.desc("x")], "place", ("v", "sum")).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1000)) and [r.x for r in got] == sorted((r.x for r in got), reverse=True)
+    total = 0
+    for r in got:
+        total += r.v
+        assert r.sum == total
+    assert ordered.numbered(rows.where("false"), ["x"]).count() == 0
+
+
 def test_segment_commits(spark, tmp_path):
     rows = spark.createDataFrame([(0, i, "u", "x" * 50) for i in range(10)], "partition int, arrival bigint, url string, text string")
     seqs = {r.arrival: r.seq for r in ingest.sealed_by_size(rows, max_rows=100, max_bytes=3 * 131).collect()}
