@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import MAX_POSITION, admitted, bit_length_capped, snippets
+from quarry.operators.ordered import numbered
+from quarry.sources.stored import saved
 
 BODY, TITLE = 0, 1
 #: Impact cap, postings of a block, blocks of a superblock, and the df up to which a term is inlined.
@@ -33,7 +35,7 @@ def postings(toks: DataFrame, with_positions: bool = False) -> DataFrame:
     """term, docid, tf (both fields), impact, mask (a bit for each field), and if asked the positions in each field."""
     columns = [F.count(F.lit(1)).cast("int").alias("tf"), F.bit_or(F.expr("shiftleft(1, field)")).alias("mask")]
     if with_positions:
-        columns += [positions(BODY).alias("body_pos"), positions(TITLE).alias("title_pos")]
+        columns += [F.count_if(F.col("field") == BODY).cast("int").alias("body_n"), positions(BODY).alias("body_pos"), positions(TITLE).alias("title_pos")]
     return toks.groupBy("term", "docid").agg(*columns).withColumn("impact", F.least("tf", F.lit(IMPACT_CAP)))
 
 
@@ -50,16 +52,17 @@ def head_terms(term_table: DataFrame, min_df: int = HEAD_DF) -> DataFrame:
 def head_budget(term_table: DataFrame, min_df: int, budget: int, bytes_each: int = 8) -> DataFrame:
     """The head terms, highest df first, up to the first that doesn't fit the budget of block bytes."""
     heads = head_terms(term_table, min_df).withColumn("bytes", F.ceil(F.col("df") / BLOCK) * bytes_each)
-    running = F.sum("bytes").over(Window.orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0))
-    return heads.withColumn("running", running).where(F.col("running") <= budget)
+    return numbered(heads, [F.desc("df"), F.col("term")], "_place", ("bytes", "running")).drop("_place").where(F.col("running") <= budget)
 
 
 def numbered_blocks(posts: DataFrame) -> DataFrame:
-    """posts with the block of each posting; inlined terms have none."""
-    order = Window.partitionBy("term").orderBy("docid")
-    size = Window.partitionBy("term")
-    rows = posts.withColumn("df", F.count(F.lit(1)).over(size)).where(F.col("df") > INLINE_DF)
-    return rows.withColumn("block_id", F.floor((F.row_number().over(order) - 1) / BLOCK)).drop("df")
+    """posts with the block of each posting; inlined terms have none.
+
+    The postings of a frequent term are numbered range by range, so none of them is one task's."""
+    placed = numbered(posts, ["term", "docid"], "_place")
+    first = placed.groupBy("term").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_df")).where(F.col("_df") > INLINE_DF)
+    both = placed.join(first, "term")
+    return both.withColumn("block_id", F.floor((F.col("_place") - F.col("_first")) / BLOCK)).drop("_place", "_first", "_df")
 
 
 def blocks(posts: DataFrame) -> DataFrame:
@@ -74,14 +77,25 @@ def superblocks(block_table: DataFrame) -> DataFrame:
 
 
 def gaps(posts: DataFrame) -> DataFrame:
-    """Distance of each docid from the one before it in its term."""
-    order = Window.partitionBy("term").orderBy("docid")
-    return posts.select("term", "docid", (F.col("docid") - F.coalesce(F.lag("docid").over(order), F.lit(0).cast("bigint"))).alias("gap"))
+    """Distance of each docid from the one before it in its term (of the first, from 0). Postings are numbered range by range, and each looks up the one before its own."""
+    placed = saved(numbered(posts.select("term", "docid"), ["term", "docid"], "place"))
+    before = placed.select("term", (F.col("place") + 1).alias("place"), F.col("docid").alias("_before"))
+    return placed.join(before, ["term", "place"], "left").select("term", "docid", (F.col("docid") - F.coalesce("_before", F.lit(0).cast("bigint"))).alias("gap"))
+
+
+def lengths(posts: DataFrame) -> DataFrame:
+    """docid, body, title: the admitted tokens of each field, from postings with field counts."""
+    return posts.groupBy("docid").agg(F.sum("body_n").alias("body"), F.sum(F.col("tf") - F.col("body_n")).alias("title"))
 
 
 def doc_values(docs: DataFrame, toks: DataFrame, docid: str = "doc_id") -> DataFrame:
     """docid, quality, spam, doclen_body, doclen_title: only admitted tokens count, as bit lengths."""
     counts = toks.groupBy("docid").agg(F.count_if(F.col("field") == BODY).alias("body"), F.count_if(F.col("field") == TITLE).alias("title"))
+    return values_of(docs, counts, docid)
+
+
+def values_of(docs: DataFrame, counts: DataFrame, docid: str = "doc_id") -> DataFrame:
+    """doc_values() from docid, body, title."""
     rows = docs.select(F.col(docid).alias("docid")).join(counts, "docid", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     return rows.select("docid", F.lit(128).alias("quality"), F.lit(0).alias("spam"), bit_length_capped(n("body"), 255).alias("doclen_body"), bit_length_capped(n("title"), 15).alias("doclen_title"))
@@ -95,19 +109,18 @@ def field_stats(docs: DataFrame, toks: DataFrame) -> DataFrame:
 
 
 def write_index(docs: DataFrame, path: str, shard: int = 0, generation: int = 1, docid: str = "doc_id", title: str | None = None, url: str | None = None) -> None:
-    """Writes one generation of one shard: postings clustered by term, terms, blocks, docs and docvalues. Nothing to index is an error."""
-    toks = tokens(docs, docid, "text", title)
+    """Writes one generation of one shard: postings clustered by term, terms, blocks, docs and docvalues. Texts are tokenized once. Nothing to index is an error."""
     at = lambda table: f"{path}/{table}/shard={shard}/generation={generation}"
     spark = docs.sparkSession
-    postings(toks, True).repartitionByRange("term").sortWithinPartitions("term", "docid").write.mode("overwrite").parquet(at("postings"))
+    postings(tokens(docs, docid, "text", title), True).repartitionByRange("term").sortWithinPartitions("term", "docid").write.mode("overwrite").parquet(at("postings"))
     posts = spark.read.parquet(at("postings"))
     if not posts.limit(1).count():
         raise ValueError("no postings")
     terms(posts).sortWithinPartitions("term").write.mode("overwrite").parquet(at("terms"))
-    blocks(posts).sortWithinPartitions("term", "block_id").write.mode("overwrite").parquet(at("blocks"))
+    blocks(posts.select("term", "docid", "impact")).sortWithinPartitions("term", "block_id").write.mode("overwrite").parquet(at("blocks"))
     shown = docs.select(F.col(docid).alias("docid"), (F.col(url) if url else F.lit(None).cast("string")).alias("url"), (F.col(title) if title else F.lit("")).alias("title"), snippets(F.col("text")).alias("snippet"))
     shown.sortWithinPartitions("docid").write.mode("overwrite").parquet(at("docs"))
-    doc_values(docs, toks, docid).write.mode("overwrite").parquet(at("docvalues"))
+    values_of(docs, lengths(posts), docid).write.mode("overwrite").parquet(at("docvalues"))
 
 
 def load(spark, path: str, table: str, generation: int | None = None) -> DataFrame:

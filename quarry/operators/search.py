@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions.hashing import global_docid
 from quarry.functions.text import snippets
 from quarry.operators.index import IMPACT_CAP
+from quarry.sources.stored import saved
 
 #: Limits of a query, and the score's largest value.
 MAX_SHARDS, MAX_TERMS, MAX_TERM_BYTES, SCORE_CAP = 1024, 32, 64, 65535
@@ -31,7 +32,10 @@ def validate(terms: list[str | tuple[str, int]], k: int, candidates: int, shards
 
 
 def query_rows(spark: SparkSession, queries: dict[int, Iterable[str | tuple[str, int]]]) -> DataFrame:
-    """query_id, term, op, times: a repeated term counts each time."""
+    """query_id, term, op, times: a repeated term counts each time. Each query is validated."""
+    queries = {q: list(terms) for q, terms in queries.items()}
+    for terms in queries.values():
+        validate(terms, 1, 1, [0])
     rows = [(q, *(t if isinstance(t, tuple) else (t, SHOULD))) for q, terms in queries.items() for t in terms]
     return spark.createDataFrame(rows, "query_id bigint, term string, op int").groupBy("query_id", "term", "op").agg(F.count(F.lit(1)).cast("int").alias("times"))
 
@@ -63,6 +67,8 @@ def scores(postings: DataFrame, queries: DataFrame, deleted: DataFrame | None =
 def search(postings: DataFrame, queries: DataFrame, k: int, candidates: int | None = None, shards: list[int] | None = None, deleted: DataFrame | None = None, enforce_ops: bool = False) -> DataFrame:
     """query_id, rank, docid (shard in its upper half), score: each shard's best candidates, scores capped, then the best k; ties by shard order, then docid."""
     candidates = candidates or k
+    if not 1 <= k <= min(candidates, MAX_ENTRIES) or shards is not None and not 1 <= len(shards) <= MAX_SHARDS:
+        raise ValueError("1 <= k <= candidates, k <= 4096 and 1 to 1024 shards are asked for")
     found = scores(postings, queries, deleted, enforce_ops)
     if shards is not None:
         place = F.array_position(F.array(*[F.lit(s) for s in shards]), F.col("shard").cast("int"))
@@ -96,22 +102,73 @@ def with_snippets(hits: DataFrame, docs: DataFrame) -> DataFrame:
     return hits.join(docs.select("docid", "text"), "docid").select("query_id", "rank", "docid", "score", snippets(F.col("text")).alias("snippet"))
 
 
-def pruned_search(postings: DataFrame, blocks: DataFrame, queries: DataFrame, k: int, span: int = 4096, deleted: DataFrame | None = None) -> DataFrame:
-    """As search() on one shard, after block-max pruning: only docid ranges whose bound reaches the k-th best score of a query's strongest term are scored."""
-    posts = postings.join(deleted, "docid", "left_anti") if deleted is not None else postings
-    # Inlined terms have no blocks: their postings are one.
-    few = posts.join(queries.select("term").distinct(), "term", "left_semi").join(blocks.select("term").distinct(), "term", "left_anti")
-    few = few.groupBy("term").agg(F.lit(0).cast("bigint").alias("block_id"), F.min("docid").alias("first_docid"), F.max("docid").alias("last_docid"), F.count(F.lit(1)).alias("n"), F.max(F.least("tf", F.lit(IMPACT_CAP))).alias("max_impact"))
-    blocks = blocks.select(*few.columns).unionAll(few)
-    bounds = blocks.groupBy("term").agg(F.max("max_impact").alias("bound"), F.sum("n").alias("df"))
-    known = queries.where(F.col("op") != NOT).join(bounds, "term")
-    strongest = known.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), F.desc("df"), "term"))).where("_r = 1").select("query_id", "term", "times")
-    first = posts.join(strongest, "term").select("query_id", "docid", (F.least("tf", F.lit(IMPACT_CAP)) * F.col("times")).alias("s"))
-    floor = top(first, ["query_id"], k, [F.desc("s"), "docid"]).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("s")).otherwise(1).alias("floor"))
-    cells = known.join(blocks, "term").withColumn("cell", F.explode(F.sequence(F.floor(F.col("first_docid") / span), F.floor(F.col("last_docid") / span))))
-    best = cells.groupBy("query_id", "cell", "term", "times").agg(F.max("max_impact").alias("m")).groupBy("query_id", "cell").agg(F.sum(F.col("m") * F.col("times")).alias("most"))
-    asked = posts.join(known.select("query_id", "term", "times"), "term")
-    open_cells = best.join(floor, "query_id", "left").where(F.col("most") >= F.coalesce("floor", F.lit(1))).select("query_id", "cell")
-    rows = asked.withColumn("cell", F.floor(F.col("docid") / span)).join(open_cells, ["query_id", "cell"])
-    got = rows.groupBy("query_id", "docid").agg(F.sum(F.least("tf", F.lit(IMPACT_CAP)).cast("bigint") * F.col("times")).alias("score")).where("score > 0")
+def asked(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, term, docid, s of every posting of the queries' terms that counts: one scan of the postings, stored."""
+    posts = postings.select("term", "docid", F.least("tf", F.lit(IMPACT_CAP)).cast("bigint").alias("impact"))
+    return saved(posts.join(queries.where(F.col("op") != NOT).select("query_id", "term", "times"), "term").select("query_id", "term", "docid", (F.col("impact") * F.col("times")).alias("s")))
+
+
+def threshold(rows: DataFrame, k: int) -> DataFrame:
+    """query_id, floor: a score that the k-th best document reaches for sure, that of the k-th best under one term; 1 where no term has k documents."""
+    best = top(rows, ["query_id", "term"], k, [F.desc("s"), "docid"]).groupBy("query_id", "term").agg(F.when(F.count(F.lit(1)) >= k, F.min("s")).otherwise(1).alias("floor"))
+    return best.groupBy("query_id").agg(F.max("floor").alias("floor"))
+
+
+def ranked(rows: DataFrame, k: int) -> DataFrame:
+    got = rows.groupBy("query_id", "docid").agg(F.sum("s").alias("score")).where("score > 0")
     return top(got, ["query_id"], k, [F.desc("score"), "docid"]).select("query_id", "rank", "docid", F.least("score", F.lit(SCORE_CAP)).alias("score"))
+
+
+def without(postings: DataFrame, deleted: DataFrame | None) -> DataFrame:
+    return postings if deleted is None else postings.join(deleted, "docid", "left_anti")
+
+
+def pruned_search(postings: DataFrame, blocks: DataFrame, queries: DataFrame, k: int, span: int = 4096, deleted: DataFrame | None = None) -> DataFrame:
+    """As search() on one shard, after block-max pruning: only docid ranges of which the blocks' largest impacts together reach the threshold are scored.
+
+    Terms without blocks (inlined) count with their few postings themselves."""
+    rows = asked(without(postings, deleted), queries)
+    known = queries.where(F.col("op") != NOT).select("query_id", "term", "times")
+    in_blocks = known.join(blocks.select("term", "first_docid", "last_docid", "max_impact"), "term")
+    cells = in_blocks.select("query_id", "term", F.explode(F.sequence(F.floor(F.col("first_docid") / span), F.floor(F.col("last_docid") / span))).alias("cell"), (F.col("max_impact") * F.col("times")).alias("s"))
+    few = rows.join(blocks.select("term").distinct(), "term", "left_anti").select("query_id", "term", F.floor(F.col("docid") / span).alias("cell"), "s")
+    most = cells.unionAll(few).groupBy("query_id", "cell", "term").agg(F.max("s").alias("s")).groupBy("query_id", "cell").agg(F.sum("s").alias("most"))
+    wanted = most.join(threshold(rows, k), "query_id").where("most >= floor").select("query_id", "cell")
+    return ranked(rows.withColumn("cell", F.floor(F.col("docid") / span)).join(wanted, ["query_id", "cell"], "left_semi"), k)
+
+
+def reach(queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, term, most (what the term can add to a score) and reach: what it and the query's weaker terms can add together."""
+    known = queries.where(F.col("op") != NOT).join(terms.select("term", "df", "bound"), "term").withColumn("most", (F.col("bound") * F.col("times")).cast("bigint"))
+    order = Window.partitionBy("query_id").orderBy("most", "df", "term").rowsBetween(Window.unboundedPreceding, 0)  # a query has few terms
+    return known.withColumn("reach", F.sum("most").over(order))
+
+
+def maxscore_search(postings: DataFrame, terms: DataFrame, queries: DataFrame, k: int, deleted: DataFrame | None = None) -> DataFrame:
+    """As search() on one shard, by MaxScore: documents that hold only terms whose reach is below the threshold are no candidates; those terms are looked up for the candidates alone."""
+    rows = asked(without(postings, deleted), queries)
+    known = reach(queries, terms).join(threshold(rows, k), "query_id")
+    essential = known.where("reach >= floor").select("query_id", "term")
+    candidates = rows.join(F.broadcast(essential), ["query_id", "term"], "left_semi").select("query_id", "docid").distinct()
+    return ranked(rows.join(candidates, ["query_id", "docid"], "left_semi"), k)
+
+
+def hybrid_search(postings: DataFrame, terms: DataFrame, blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Queries of up to two different terms by block-max, the others by MaxScore."""
+    few = queries.where(F.col("op") != NOT).groupBy("query_id").agg(F.countDistinct("term").alias("n")).where("n <= 2").select("query_id")
+    short, long = queries.join(few, "query_id", "left_semi"), queries.join(few, "query_id", "left_anti")
+    return pruned_search(postings, blocks, short, k).unionByName(maxscore_search(postings, terms, long, k))
+
+
+def traverse_stats(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, postings, docs, best: what a traversal of all postings of each query's terms scores."""
+    rows = asked(postings, queries).groupBy("query_id", "docid").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("score"))
+    return rows.groupBy("query_id").agg(F.sum("n").alias("postings"), F.count(F.lit(1)).alias("docs"), F.max("score").alias("best"))
+
+
+def records_in_order(docs: DataFrame, docids: list[int]) -> DataFrame:
+    """pos and the records of the docids asked for, in their order (sort by pos); unknown ones are missing. More than MAX_SNIPPETS are an error."""
+    if len(docids) > MAX_SNIPPETS:
+        raise ValueError(f"more than {MAX_SNIPPETS} records asked for")
+    wanted = docs.sparkSession.createDataFrame(list(enumerate(docids)), "pos int, docid bigint")
+    return docs.join(F.broadcast(wanted), "docid").select("pos", *docs.columns)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.operators import index
+from quarry.sources.stored import scratch
 
 RUN_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789äöüßéèêëçñáíóúàâîïôûùœæ"
 
@@ -40,3 +42,22 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.postings(doc_tokens(spark, sf_dir))
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the index of a documents table: written by a session's first query that searches it. The table is taken not to change meanwhile."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = scratch(spark)
+        index.write_index(table(spark, sf_dir, "documents"), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, terms: list[str] | None = None) -> DataFrame:
+    """A table of the stored index; the filter on terms reaches the scan, whose files are sorted by term."""
+    rows = index.load(spark, stored_index(spark, sf_dir), name)
+    return rows if terms is None else rows.where(F.col("term").isin(sorted(set(terms))))

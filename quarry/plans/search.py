@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import index as I
 from quarry.operators import search as S
-from quarry.plans.common import POSTINGS_SQL, doc_postings, doc_tokens, table
+from quarry.operators.catalog import exclusions
+from quarry.plans.common import POSTINGS_SQL, TERMS_SQL, stored, table
 from quarry.plans.registry import query
 
 TERMS = ["the", "of", "and", "nicht", "que"]
@@ -17,8 +17,7 @@ def _listed(terms):
 
 
 def _posts(spark, d, terms):
-    """Postings of some terms: the filter is on the tokens, before any shuffle."""
-    return I.postings(doc_tokens(spark, d).where(F.col("term").isin(sorted(set(terms)))))
+    return stored(spark, d, "postings", terms).select("term", "docid", "tf")
 
 
 def _topk_sql(terms, k, where="", extra=""):
@@ -30,7 +29,6 @@ SELECT 0::BIGINT AS query_id, row_number() OVER (ORDER BY score DESC, docid)::IN
 
 def _topk(terms, k=10):
     def run(spark, d):
-        S.validate(terms, k, k, [0])
         return S.search(_posts(spark, d, terms), S.query_rows(spark, {0: terms}), k)
 
     return run
@@ -57,8 +55,8 @@ def search_multishard(spark, d):
 @query("search_excluded", _topk_sql(["the", "of"], 10, "AND docid % 7 <> 0 AND docid % 11 <> 0"))
 def search_excluded(spark, d):
     """Tombstones of two deltas over one base: their union is excluded."""
-    ids = table(spark, d, "documents").select(F.col("doc_id").alias("docid"))
-    deleted = ids.where("docid % 7 = 0").unionAll(ids.where("docid % 11 = 0")).distinct()
+    ids = table(spark, d, "documents").select(F.col("doc_id").alias("docid"), F.lit(1).alias("base_docs"))
+    deleted = exclusions(ids.where("docid % 7 = 0").unionAll(ids.where("docid % 11 = 0")), 1)
     return S.search(_posts(spark, d, ["the", "of"]), S.query_rows(spark, {0: ["the", "of"]}), 10, deleted=deleted)
 
 
@@ -113,8 +111,50 @@ def search_hits_display(spark, d):
 @query("search_blockmax", _topk_sql(["the", "of", "and"], 10))
 def search_blockmax(spark, d):
     """Block-max pruning in front of the same scores."""
-    posts = _posts(spark, d, ["the", "of", "and"])
-    return S.pruned_search(posts, I.blocks(posts), S.query_rows(spark, {0: ["the", "of", "and"]}), 10)
+    terms = ["the", "of", "and"]
+    return S.pruned_search(_posts(spark, d, terms), stored(spark, d, "blocks", terms), S.query_rows(spark, {0: terms}), 10)
+
+
+@query("search_maxscore", _topk_sql(TERMS, 10))
+def search_maxscore(spark, d):
+    """The terms that can't reach the threshold alone are looked up for others' documents only."""
+    return S.maxscore_search(_posts(spark, d, TERMS), stored(spark, d, "terms", TERMS), S.query_rows(spark, {0: TERMS}), 10)
+
+
+@query("search_hybrid", "SELECT * FROM (" + _topk_sql(["the", "of"], 10) + ") UNION ALL SELECT 1::BIGINT AS query_id, * EXCLUDE query_id FROM (" + _topk_sql(TERMS, 10) + ")")
+def search_hybrid(spark, d):
+    """Up to two terms by block-max, more by MaxScore."""
+    return S.hybrid_search(_posts(spark, d, TERMS), stored(spark, d, "terms", TERMS), stored(spark, d, "blocks", TERMS), S.query_rows(spark, {0: ["the", "of"], 1: TERMS}), 10)
+
+
+@query(
+    "search_bounds",
+    f"""WITH {TERMS_SQL}, q AS (SELECT unnest(['the', 'of', 'and', 'nicht', 'que']) AS term)
+SELECT 0::BIGINT AS query_id, term, bound::BIGINT AS most, sum(bound) OVER (ORDER BY bound, df, term)::BIGINT AS reach FROM terms JOIN q USING (term)""",
+)
+def search_bounds(spark, d):
+    """What a query's weaker terms can reach together."""
+    return S.reach(S.query_rows(spark, {0: TERMS}), stored(spark, d, "terms", TERMS)).select("query_id", "term", "most", "reach")
+
+
+@query(
+    "search_traverse_stats",
+    f"""WITH {POSTINGS_SQL}, s AS (SELECT docid, sum(impact) AS score FROM post WHERE term IN ('the', 'of') GROUP BY docid)
+SELECT 0::BIGINT AS query_id, (SELECT count(*) FROM post WHERE term IN ('the', 'of')) AS postings, count(*) AS docs, max(score)::BIGINT AS best FROM s""",
+)
+def search_traverse_stats(spark, d):
+    """What an exhaustive traversal looks at."""
+    return S.traverse_stats(_posts(spark, d, ["the", "of"]), S.query_rows(spark, {0: ["the", "of"]}))
+
+
+@query(
+    "snippet_fanin",
+    "SELECT pos, doc_id AS docid, lang, source FROM documents JOIN (SELECT unnest([7, 3, 11, 3, 150]) AS want, unnest(range(5))::INT AS pos) w ON doc_id = want",
+)
+def snippet_fanin(spark, d):
+    """Records in the order that they are asked for, a docid as often as it is asked."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("docid"), "lang", "source")
+    return S.records_in_order(docs, [7, 3, 11, 3, 150])
 
 
 @query(
@@ -128,4 +168,4 @@ def search_batch(spark, d):
     items = table(spark, d, "benchmark").withColumnRenamed("item_id", "docid")
     words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{Nd}\\p{Mn}]+"), F.lit(0)), 1, 4)
     q = items.select(F.col("docid").alias("query_id"), F.explode(words).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("int").alias("times")).withColumn("op", F.lit(0))
-    return S.search(doc_postings(spark, d), q, 100)
+    return S.search(stored(spark, d, "postings").select("term", "docid", "tf"), q, 100)

@@ -7,40 +7,44 @@ from pyspark.sql import functions as F
 
 from quarry.operators import catalog, index, search
 
-VERTICAL = [
-    ("Mount Fuji", "fuji is the tallest mountain in japan and a sacred mountain"),
-    ("The Alps", "the alps mountain range crosses europe"),
-    ("Andes Mountain Chain", "the andes mountain chain feeds every river on the continent with mountain meltwater"),
-    ("Amazon River", "the amazon river carries more water than any other river"),
-    ("The Nile", "the nile river flows north across the desert"),
-    ("Sumida", "tokyo sits where the sumida river meets the bay"),
-    ("Kamo", "the kamo river runs through kyoto"),
-    ("Osaka", "osaka is a port city known for street food"),
+#: Title and text; no word but "rose" is in more than four texts.
+PAGES = [
+    ("Rose hedge", "a hedge of rose and thorn stands along our lane"),
+    ("Compost", "turn the compost twice and let it rest"),
+    ("Rose care", "cut each rose in march so that the rose can breathe, then feed every rose"),
+    ("Pond", "frogs like a shallow pond with reeds"),
+    ("Wall", "against this wall a climbing rose needs wire"),
+    ("Shed", "tools hang in the shed beside twine and wire"),
 ]
 
 
 @pytest.fixture(scope="module")
-def vertical(spark):
-    return spark.createDataFrame([(i, t, x, f"https://site.test/{i}") for i, (t, x) in enumerate(VERTICAL)], "doc_id bigint, title string, text string, url string")
+def garden(spark):
+    return spark.createDataFrame([(i, t, x, f"https://garden.test/{i}") for i, (t, x) in enumerate(PAGES)], "doc_id bigint, title string, text string, url string")
 
 
-def test_vertical(spark, vertical):
-    posts = index.postings(index.tokens(vertical, "doc_id", "text", "title"))
-    hits = search.search(posts, search.query_rows(spark, {0: ["mountain", "river"]}), 3).orderBy("rank").collect()
-    assert [(h.docid, h.score) for h in hits] == [(2, 4), (3, 3), (0, 2)]
+def test_two_fields_are_scored(spark, garden):
+    posts = index.postings(index.tokens(garden, "doc_id", "text", "title"))
+    hits = search.search(posts, search.query_rows(spark, {0: ["rose", "wire"]}), 4).orderBy("rank").collect()
+    words = lambda i: " ".join(PAGES[i]).lower().replace(",", "").split()
+    score = {i: sum(w in ("rose", "wire") for w in words(i)) for i in range(len(PAGES))}
+    assert [(h.docid, h.score) for h in hits] == sorted(((i, n) for i, n in score.items() if n), key=lambda x: (-x[1], x[0]))[:4]
 
 
-def test_index_on_disk(spark, vertical, tmp_path):
-    index.write_index(vertical, str(tmp_path), shard=3, generation=2, title="title", url="url")
+def test_index_on_disk(spark, garden, tmp_path):
+    index.write_index(garden, str(tmp_path), shard=3, generation=2, title="title", url="url")
     posts = index.load(spark, str(tmp_path), "postings", 2)
     assert {r.shard for r in posts.select("shard").distinct().collect()} == {3}
-    river = posts.where("term = 'river' AND docid = 3").first()
-    assert (river.tf, river["mask"], river.body_pos, river.title_pos) == (3, 3, [2, 9], [1])
+    rose = posts.where("term = 'rose' AND docid = 2").first()
+    assert (rose.tf, rose["mask"], rose.body_pos, rose.title_pos, rose.body_n) == (4, 3, [2, 8, 14], [0], 3)
     terms = {r.term: r for r in index.load(spark, str(tmp_path), "terms").collect()}
-    assert (terms["mountain"].df, terms["mountain"].cf, terms["mountain"].inlined) == (3, 6, True)
-    assert not terms["the"].inlined
+    assert (terms["rose"].df, terms["rose"].cf, terms["rose"].inlined) == (3, 7, True)
+    values = {r.docid: r for r in index.load(spark, str(tmp_path), "docvalues").collect()}
+    assert (values[3].doclen_body, values[3].doclen_title) == (3, 1)
+    plan = index.load(spark, str(tmp_path), "postings").where("term = 'rose'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,rose)" in plan
     with pytest.raises(ValueError):
-        index.write_index(vertical.where("false"), str(tmp_path / "none"))
+        index.write_index(garden.where("false"), str(tmp_path / "none"))
 
 
 def test_caps_and_invariants(spark):
@@ -86,7 +90,15 @@ def test_rank_against_brute_force(spark):
         pruned = {i: [] for i in flat}
         for r in search.pruned_search(posts, blocks, q, k, span=256).orderBy("query_id", "rank").collect():
             pruned[r.query_id].append((r.docid, r.score))
+        table = index.terms(posts).cache()
+        by_max = {i: [] for i in flat}
+        for r in search.maxscore_search(posts, table, q, k).orderBy("query_id", "rank").collect():
+            by_max[r.query_id].append((r.docid, r.score))
+        mixed = {i: [] for i in flat}
+        for r in search.hybrid_search(posts, table, blocks, q, k).orderBy("query_id", "rank").collect():
+            mixed[r.query_id].append((r.docid, r.score))
         for i, terms in queries.items():
+            assert by_max[i] == mixed[i] == _brute(rows, terms, k)
             assert flat[i] == _brute(rows, terms, k)
             assert pruned[i] == flat[i]
     gone = spark.createDataFrame([(d,) for d in range(0, 2000, 3)], "docid bigint")
@@ -94,7 +106,18 @@ def test_rank_against_brute_force(spark):
     assert [(r.docid, r.score) for r in got] == _brute(rows, ["t00", "t01"], 20, set(range(0, 2000, 3)))
 
 
+def test_records_in_order(spark, garden):
+    docs = garden.select(F.col("doc_id").alias("docid"), "title")
+    assert [r.title for r in search.records_in_order(docs, [3, 1, 3, 99]).orderBy("pos").collect()] == ["Pond", "Compost", "Pond"]
+    with pytest.raises(ValueError):
+        search.records_in_order(docs, [1] * 1025)
+
+
 def test_validation_and_degrade(spark):
+    with pytest.raises(ValueError):
+        search.query_rows(spark, {0: ["a"] * 33})
+    with pytest.raises(ValueError):
+        search.search(spark.createDataFrame([], "term string, docid bigint, tf int"), search.query_rows(spark, {0: ["a"]}), 4097)
     for bad in ((["a"], 0, 1, [0]), (["a"], 2, 1, [0]), ([], 1, 1, [0]), (["a"] * 33, 1, 1, [0]), (["a" * 65], 1, 1, [0]), (["a"], 1, 1, [])):
         with pytest.raises(ValueError):
             search.validate(*bad)
