@@ -122,6 +122,11 @@ def trimmable(log: DataFrame, newest_checkpoint: int, interval: int = CHECKPOINT
     return log.where(F.col("seq") <= newest_checkpoint - interval)
 
 
+def watermarks(log: DataFrame) -> DataFrame:
+    """partition and the position of its last commit."""
+    return log.where("kind = 'seg_commit'").groupBy("partition").agg(F.max("seq").alias("watermark"))
+
+
 def state(log: DataFrame) -> dict[str, DataFrame]:
     """All folded tables."""
     return {"members": newest(log, "member", ["node"], ["endpoint", "version"]), "leases": leases(tenures(log)), "manifests": manifests(log), "generations": generations(log), "checkpoint": checkpoint(log)}

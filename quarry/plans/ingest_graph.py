@@ -8,9 +8,11 @@ from quarry.functions import url as U
 from quarry.functions.hashing import anchor_cut, fingerprint, fnv32, rfc3339_ms
 from quarry.operators import graph as G
 from quarry.operators import ingest as N
+from quarry.operators import store as C
 from quarry.plans.common import table
 from quarry.plans.registry import query
-from quarry.sources.html import links, page_fields
+from quarry.sources.html import links, page_fields, wat_links
+from quarry.sources.stored import scratch
 from quarry.sources.warc import packed, parsed
 
 _KEYS = ", ".join(f"'{k}'" for k in U.TRACKING + U.SESSION)
@@ -210,17 +212,69 @@ def docmap(spark, d):
     return G.docmap(table(spark, d, "pages"), "page_id", U.canonicalize_url(F.col("url")))
 
 
-@query("docmap_find", f"WITH {CANON_SQL} SELECT page_id AS docid, url_canon FROM page WHERE url_canon IN (SELECT url_canon FROM page WHERE page_id IN (3, 17))")
+def _docmap_rows(spark, d):
+    """Identities of the pages as a docmap's rows."""
+    return _canon(spark, d).select(F.unhex(fingerprint(F.col("url_canon"))).alias("urlfp"), F.col("page_id").alias("docid"), F.lit(None).cast("binary").alias("canon_fp"), F.lit(0).alias("flags"))
+
+
+def _stored_docmap(spark, d, rows=None):
+    folder = scratch(spark)
+    C.write_docmap(_docmap_rows(spark, d) if rows is None else rows, folder)
+    return spark.read.parquet(folder)
+
+
+@query("docmap_find", f"WITH {CANON_SQL}, m AS (SELECT url_canon, min(page_id) AS docid FROM page GROUP BY 1) SELECT docid, substr(sha256(url_canon), 1, 32) AS urlfp FROM m WHERE url_canon IN (SELECT url_canon FROM page WHERE page_id IN (3, 17))")
 def docmap_find(spark, d):
-    rows = _canon(spark, d)
-    wanted = rows.where("page_id IN (3, 17)").select("url_canon").distinct()
-    return rows.join(wanted, "url_canon", "left_semi").select(F.col("page_id").alias("docid"), "url_canon")
+    """A stored docmap, asked for two fingerprints."""
+    wanted = [bytes(r.urlfp) for r in _docmap_rows(spark, d).where("docid IN (3, 17)").collect()]
+    return C.find(_stored_docmap(spark, d), wanted).select("docid", F.lower(F.hex("urlfp")).alias("urlfp"))
 
 
-@query("docmap_merge", f"WITH {CANON_SQL}, m AS (SELECT substr(sha256(url_canon), 1, 32) AS urlfp, min(page_id) AS docid FROM page GROUP BY 1) SELECT p.page_id, m.docid AS canon_docid FROM page p JOIN m ON m.urlfp = substr(sha256(p.url_canon), 1, 32)")
+@query("docmap_merge", f"WITH {CANON_SQL}, a AS (SELECT substr(sha256(url_canon), 1, 32) AS urlfp, min(page_id) AS docid FROM page GROUP BY 1), b AS (SELECT substr(sha256(url_canon), 1, 32) AS urlfp, min(page_id) + 1000 AS docid FROM page WHERE page_id % 3 = 0 GROUP BY 1) SELECT urlfp, coalesce(b.docid, a.docid) AS docid FROM a LEFT JOIN b USING (urlfp)")
 def docmap_merge(spark, d):
-    rows = _canon(spark, d).select("page_id", fingerprint(F.col("url_canon")).alias("urlfp"))
-    return rows.join(rows.groupBy("urlfp").agg(F.min("page_id").alias("canon_docid")), "urlfp").select("page_id", "canon_docid")
+    """Two generations: of an identity that both have the newer one's row counts."""
+    rows = _docmap_rows(spark, d)
+    newer = rows.where("docid % 3 = 0").withColumn("docid", F.col("docid") + 1000)
+    both = C.merged_docmap([_stored_docmap(spark, d, rows), _stored_docmap(spark, d, newer)])
+    return both.select(F.lower(F.hex("urlfp")).alias("urlfp"), "docid")
+
+
+@query("graph_walk", f"WITH {_LINKS_SQL} SELECT DISTINCT page_id::VARCHAR AS src, href AS dst FROM links")
+def graph_walk(spark, d):
+    """The stored graph, source by source."""
+    folder = scratch(spark)
+    C.write_graph(_edges(spark, d), folder)
+    return G.walk(G.adjacency(spark.read.parquet(folder)))
+
+
+@query(
+    "in_degree_of_pages",
+    f"WITH {_LINKS_SQL} SELECT href AS urlfp, count(*) AS in_degree FROM links WHERE href IN (SELECT href FROM links WHERE page_id % 2 = 0) GROUP BY href",
+)
+def in_degree_of_pages(spark, d):
+    """Pages here are the targets of every second page's links."""
+    rows = links(table(spark, d, "pages"))
+    pages = rows.where("page_id % 2 = 0").select(F.col("href").alias("urlfp")).distinct()
+    return G.in_degree_of_pages(rows.select(F.col("href").alias("dst")), pages)
+
+
+@query("raw_get", "SELECT page_id AS docid, sha256(html) AS sha, strlen(html)::BIGINT AS len FROM pages WHERE page_id BETWEEN 10 AND 12")
+def raw_get(spark, d):
+    """Stored HTML of three pages; the filter reaches the scan."""
+    folder = scratch(spark)
+    C.write_raw(table(spark, d, "pages").withColumnRenamed("page_id", "docid"), folder)
+    return spark.read.parquet(folder).where("docid BETWEEN 10 AND 12").select("docid", F.sha2("html", 256).alias("sha"), "len")
+
+
+@query("wat_links", f"WITH {_LINKS_SQL} SELECT page_id, pos, href, anchor, CASE WHEN page_id % 3 = 0 THEN 5 ELSE 0 END AS flags FROM links")
+def wat_query(spark, d):
+    """Links as the JSON of metadata records, images between them, taken apart again with their flags."""
+    one = F.struct(F.lit("A@/href").alias("path"), F.col("href").alias("url"), F.col("anchor").alias("text"), F.when(F.col("page_id") % 3 == 0, "nofollow sponsored").alias("rel"))
+    other = F.struct(F.lit("IMG@/src").alias("path"), F.lit("x.png").alias("url"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("rel"))
+    rows = links(table(spark, d, "pages")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("link")))).alias("l"))
+    found = F.flatten(F.transform("l", lambda x: F.array(other, x["link"])))
+    json = F.to_json(F.struct(F.struct(F.struct(F.struct(F.struct(found.alias("Links")).alias("HTML-Metadata")).alias("HTTP-Response-Metadata")).alias("Payload-Metadata")).alias("Envelope")))
+    return wat_links(rows.select("page_id", json.alias("json"))).select("page_id", "pos", "href", "anchor", "flags")
 
 
 @query("point_lookup", "SELECT page_id, url FROM pages WHERE page_id = 42")

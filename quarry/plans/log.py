@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
+from quarry.functions.hashing import object_key
 from quarry.operators import fold as L
 from quarry.operators import index as I
 from quarry.operators import replay as R
+from quarry.operators import store as C
+from quarry.operators.ingest import visible
 from quarry.plans.common import TERMS_SQL, doc_postings, table
 from quarry.plans.registry import query
+from quarry.schemas import GC_TOMBSTONE, LEDGER
 from quarry.sources import fixture
 from quarry.sources.querylog import bands, synthesize
+from quarry.sources.stored import scratch
 
 NOW = 9_000_000
 
@@ -82,18 +85,58 @@ def log_boundaries(spark, d):
     return L.boundaries(log(spark, d))
 
 
-@query("log_boot", f"WITH {LOG_SQL} SELECT node, max(seq) AS version FROM log WHERE kind = 'lease_grant' GROUP BY node")
+#: Records as JSON lines, one for each event and its kind; DuckDB reads the same fields from the log itself.
+def _records(spark, d):
+    rows = log(spark, d)
+    kind = F.when(F.col("kind") == "lease_grant", "member").when(F.col("kind") == "ckpt", F.when(F.col("k") % 3 > 0, "gen_publish").otherwise("gen_retire")).otherwise(F.col("kind"))
+    fields = {"seq": "seq", "ord": "ord", "kind": kind, "node": "node", "unit": "unit", "partition": "unit", "family": F.col("k") % 2, "man_seq": "seq", "shard": "unit", "generation": F.col("k") % 8, "gen_kind": (F.col("k") % 3).cast("string"), "watermark": F.col("seq") + F.col("k"), "endpoint": F.col("k").cast("string"), "version": "seq"}
+    lines = rows.select(F.to_json(F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(n) for n, v in fields.items()])).alias("json"))
+    return C.with_table(C.decoded(lines.unionAll(spark.createDataFrame([("no record",), ('{"kind": "other", "seq": 1}',), ("{}",)], "json string"))))
+
+
+_KINDS_SQL = f"""{LOG_SQL}, rec AS (SELECT *, k % 2 AS family, k % 8 AS generation, (k % 3)::VARCHAR AS gen_kind, seq + k AS watermark, CASE WHEN kind = 'lease_grant' THEN 'member' WHEN kind = 'ckpt' THEN CASE WHEN k % 3 > 0 THEN 'gen_publish' ELSE 'gen_retire' END ELSE kind END AS rkind FROM log),
+kinds AS (SELECT 'member' AS "table", node::VARCHAR AS key, k::VARCHAR || '/' || seq AS value, seq FROM rec WHERE rkind = 'member'
+  UNION ALL SELECT 'manifest', family || '/' || unit, seq::VARCHAR, seq FROM rec WHERE rkind = 'man_advance'
+  UNION ALL SELECT 'generation', unit || '/' || generation, rkind || '/' || gen_kind, seq FROM rec WHERE rkind LIKE 'gen%'
+  UNION ALL SELECT 'commit', unit::VARCHAR, watermark::VARCHAR, seq FROM rec WHERE rkind = 'seg_commit'),
+folded AS (SELECT "table", key, arg_max(value, seq) AS value, max(seq) AS seq FROM kinds GROUP BY ALL)"""
+
+
+def _shown(state):
+    """The values of the JSON keys and values, one after another."""
+    text = lambda c: F.array_join(F.map_values(F.from_json(c, "map<string, string>")), "/")
+    return state.select("table", text("key").alias("key"), text("value").alias("value"), "seq")
+
+
+@query("log_decode", f"WITH {_KINDS_SQL} SELECT rkind AS kind, count(*) AS n, min(seq) AS low, max(seq) AS high FROM rec GROUP BY rkind")
+def log_decode(spark, d):
+    """JSON lines as typed records; lines that are none are left out."""
+    return _records(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"))
+
+
+@query("log_snapshot", f"WITH {_KINDS_SQL} SELECT * FROM folded")
+def log_snapshot(spark, d):
+    """All records of all kinds, folded."""
+    return _shown(C.snapshot(_records(spark, d)))
+
+
+@query("log_boot", f"WITH {_KINDS_SQL} SELECT * FROM folded")
 def log_boot(spark, d):
-    """A checkpoint at the last boundary and the records behind it give what the whole log gives."""
-    rows = log(spark, d).where("kind = 'lease_grant'").select("node", "seq")
-    cut = 4096
-    snapshot = rows.where(F.col("seq") < cut).groupBy("node").agg(F.max("seq").alias("seq"))
-    return snapshot.unionByName(rows.where(F.col("seq") >= cut)).groupBy("node").agg(F.max("seq").alias("version"))
+    """The checkpoint at the last boundary, flushed twice, and the records behind it give what the whole log gives, for every kind."""
+    records, folder = _records(spark, d), scratch(spark)
+    C.flush(records, folder)
+    return _shown(C.boot(records, folder, C.flush(records, folder)))
+
+
+_BOUNDARY_SQL = "(SELECT max(seq) FROM log WHERE (seq + 1) % 4096 = 0)"
 
 
-@query("log_trim", f"WITH {LOG_SQL} SELECT count(*) AS n FROM log WHERE seq <= 8191 - 4096")
+@query("log_trim", f"WITH {LOG_SQL} SELECT count(*) AS n FROM log WHERE seq <= {_BOUNDARY_SQL} - 4096")
 def log_trim(spark, d):
-    return L.trimmable(log(spark, d), 8191).agg(F.count(F.lit(1)).alias("n"))
+    """What lies a checkpoint before the newest one."""
+    rows = log(spark, d)
+    newest = L.boundaries(rows).agg(F.max("seq")).first()[0]
+    return L.trimmable(rows, newest if newest is not None else -1).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("log_dedup", f"WITH {LOG_SQL} SELECT unit AS writer, k AS batch_id, min(seq) AS seq FROM log GROUP BY ALL")
@@ -137,9 +180,9 @@ def fence_commits(spark, d):
 @query("commit_visibility", f"WITH RECURSIVE {_COMMITS_SQL} SELECT doc_id FROM documents SEMI JOIN (SELECT DISTINCT unit, k FROM fenced WHERE accepted) f ON f.unit = doc_id % 16 AND f.k = doc_id % 100")
 def commit_visibility(spark, d):
     """Rows of segments (partition, number) are visible if an accepted commit names them."""
-    named = _fenced(spark, d).where("accepted").select(F.col("unit").alias("partition"), F.col("k").alias("seg"))
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 16).alias("partition"), (F.col("doc_id") % 100).alias("seg"))
-    return docs.join(named, ["partition", "seg"], "left_semi").select("doc_id")
+    named = _fenced(spark, d).where("accepted").select(F.lit("seg_commit").alias("kind"), F.col("unit").alias("partition"), F.col("k").alias("seg_seq"))
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 16).alias("partition"), (F.col("doc_id") % 100).alias("seg_seq"))
+    return visible(docs, named).select("doc_id")
 
 
 @query(
@@ -162,23 +205,46 @@ def manifest_select(spark, d):
 
 @query("ledger_stats", "SELECT user_id % 16 AS partition, count(*) AS n, epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000 AS last_ms, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY ALL")
 def ledger_stats(spark, d):
-    rows = table(spark, d, "events")
-    ms = lambda c: F.floor(F.unix_micros(c) / 1000)
-    ts = F.col("ts").cast("timestamp")
-    return rows.groupBy((F.col("user_id") % 16).alias("partition")).agg(F.count(F.lit(1)).alias("n"), ms(F.min(ts)).alias("first_ms"), ms(F.max(ts)).alias("last_ms"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    """A ledger written in two parts and read back."""
+    rows, folder = table(spark, d, "events"), scratch(spark)
+    fetches = rows.select(F.encode(F.col("user_id").cast("string"), "UTF-8").alias("urlfp"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ts"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.lit(0).cast("bigint").alias("bytes"), "event_id")
+    for part in (0, 1):
+        C.write_ledger(fetches.where(F.col("event_id") % 2 == part).drop("event_id"), folder)
+    return C.ledger_counts(spark.read.schema(LEDGER).parquet(folder), F.decode("urlfp", "UTF-8").cast("bigint") % 16)
 
 
-@query("gc_tombstones", f"WITH {LOG_SQL} SELECT seq, 'seg/' || lpad(seq::VARCHAR, 16, '0') AS key FROM log WHERE kind = 'seg_commit' AND deadline_ms <= 5000000")
+@query("gc_tombstones", f"WITH {LOG_SQL} SELECT 'seg/' || lpad(seq::VARCHAR, 16, '0') AS key, (k % 3)::INT AS reason FROM log WHERE kind = 'seg_commit' AND deadline_ms <= 5000000")
 def gc_tombstones(spark, d):
-    from quarry.functions.hashing import object_key
-
-    rows = log(spark, d).where("kind = 'seg_commit'").select("seq", F.concat(F.lit("seg/"), object_key(F.col("seq"))).alias("key"), F.col("deadline_ms").alias("eligible_ms"))
-    return rows.where("eligible_ms <= 5000000").select("seq", "key")
+    """Tombstone pages written in two parts; a key named again later waits."""
+    folder = scratch(spark)
+    rows = log(spark, d).where("kind = 'seg_commit'").select(F.concat(F.lit("seg/"), object_key(F.col("seq"))).alias("key"), (F.col("k") % 3).cast("int").alias("reason"), F.col("deadline_ms").alias("eligible_ms"))
+    C.write_tombstones(rows, folder)
+    C.write_tombstones(rows.where("eligible_ms > 5000000").withColumn("eligible_ms", F.col("eligible_ms") + 1), folder)
+    return C.collectable(spark.read.schema(GC_TOMBSTONE).parquet(folder), F.lit(5_000_000))
 
 
 @query("source_watermarks", f"WITH {LOG_SQL} SELECT unit AS partition, max(seq) AS watermark FROM log WHERE kind = 'seg_commit' GROUP BY unit")
 def source_watermarks(spark, d):
-    return log(spark, d).where("kind = 'seg_commit'").groupBy(F.col("unit").alias("partition")).agg(F.max("seq").alias("watermark"))
+    return L.watermarks(log(spark, d).select("kind", F.col("unit").alias("partition"), "seq"))
+
+
+@query("manifest_live", f"WITH {LOG_SQL} SELECT unit AS partition, seq AS seg_seq, k AS rows, seq + k AS watermark FROM log WHERE kind = 'seg_commit' AND k % 2 = 0")
+def manifest_live(spark, d):
+    """Two complete listings; the later one alone counts."""
+    folder = scratch(spark)
+    rows = log(spark, d).where("kind = 'seg_commit'").select(F.col("unit").alias("partition"), F.col("seq").alias("seg_seq"), F.col("k").alias("rows"), (F.col("seq") + F.col("k")).alias("watermark"))
+    C.write_manifest(rows, folder, 1)
+    C.write_manifest(rows.where("rows % 2 = 0"), folder, 2)
+    return C.live_segments(spark.read.parquet(folder))
+
+
+@query("frontier_section", "SELECT sha256(event_id::VARCHAR) AS urlfp, epoch_us(ts) // 1000 AS due_ms, (user_id % 7)::INT AS priority FROM events WHERE user_id % 16 = 5")
+def frontier_section(spark, d):
+    """A frontier of 16 sections, of which one is read."""
+    folder = scratch(spark)
+    rows = table(spark, d, "events").select((F.col("user_id") % 16).cast("int").alias("section_id"), F.sha2(F.col("event_id").cast("string"), 256).alias("urlfp"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("due_ms"), (F.col("user_id") % 7).cast("int").alias("priority"))
+    C.write_frontier(rows, folder)
+    return C.section(spark.read.parquet(folder), 5)
 
 
 @query("stream_log_fold", "SELECT user_id % 5 AS node, max(event_id) AS version, arg_max(event_type, event_id) AS kind FROM events GROUP BY ALL")
@@ -186,8 +252,7 @@ def stream_log_fold(spark, d):
     """The newest record of each node, folded by a stream over the table's files to its end."""
     from quarry.streaming import fold as S
 
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
-    at = f"{base.rstrip('/')}/{uuid4().hex}"
+    at = scratch(spark)
     schema = table(spark, d, "events").schema
     stream = S.tail(spark, f"{d}/events.parquet" if not _is_file(spark, f"{d}/events.parquet") else f"{d}/events.parque[t]", schema, 1000)
     rows = stream.select((F.col("user_id") % 5).alias("node"), F.col("event_id").alias("seq"), F.col("event_id").alias("version"), F.col("event_type").alias("kind"))
