@@ -46,6 +46,13 @@ def save(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch tables that no later result reads."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def hash_pair(key: Column) -> list[Column]:
     """128 bits that stand for a key."""
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")]
@@ -111,20 +118,24 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """docs with two columns more, n_lines and n_dropped, and text without the lines that an earlier document has.
 
-    A text is split at line feeds; a null or empty one is one empty line and stays as it is. Lines whose key (blanks stripped, A-Z
+    A text is split at line feeds; a null or empty one is one empty line and stays as it is, as does one that loses nothing. Lines whose key (blanks stripped, A-Z
     lowered) has LEAST code points or more stay only in the smallest doc_id that holds the key, there all of them. Rows with the same doc_id are
-    one document. A row with a null id is kept whole and takes no part. An input column named n_lines or n_dropped is replaced."""
-    t, lines = F.xxhash64("text"), F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    gone = dropped_lines(docs.select("doc_id", "text"), batches).groupBy("doc_id", "t").agg(F.collect_set("pos").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.map_from_entries(F.transform("gone", lambda p: F.struct(p, F.lit(True)))).alias("_gone"), F.size("gone").cast("long").alias("_n"))
+    one document. A row with a null id is kept whole and takes no part. An input column named n_lines or n_dropped is replaced; other names may be any. An empty table gives none."""
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    both = docs.select(keep).join(gone, (F.col("doc_id") == F.col("_id")) & (t == F.col("_t")), "left")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.map_contains_key("_gone", i)), "\n")
-    text = F.when(F.col("_n").isNull(), F.col("text")).otherwise(kept)
-    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in keep], F.size(lines).cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0).cast("long")).alias("n_dropped"))
+    of, of_t, gone_at, n_lines = X.fresh(docs, 4)
+    gone = dropped_lines(docs.select("doc_id", "text"), batches).groupBy(F.col("doc_id").alias(of), F.col("t").alias(of_t)).agg(F.collect_set("pos").alias(gone_at))
+    both = docs.select(keep).join(gone, (F.col("doc_id") == F.col(of)) & (F.xxhash64("text") == F.col(of_t)), "left")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    # A set's difference keeps the order: as many steps as there are lines.
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_at))
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(kept)
+    out = both.withColumn(n_lines, F.size(lines).cast("long"))
+    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in keep], F.col(n_lines).alias("n_lines"), F.when(F.col(gone_at).isNull(), 0).otherwise(F.size(gone_at)).cast("long").alias("n_dropped"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' lines, and the SHA-256 of what is kept (null: of the empty text); the cases are those of dedup_lines()."""
     out = dedup_lines(X.documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

@@ -17,6 +17,8 @@ MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
 STEP_BYTES = 4 << 20
+#: Bytes of labelled texts of each class that a classifier is trained on at most.
+SAMPLE_BYTES = 4 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
@@ -28,6 +30,16 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(rows: DataFrame, n: int) -> list[str]:
+    """n column names that rows doesn't have, in upper or lower case."""
+    taken, out, k = {c.lower() for c in rows.columns}, [], 0
+    while len(out) < n:
+        if (name := f"_q{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values one after another, and where each begins (one more entry for the end); null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -51,6 +63,17 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         at = to
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 rows one after another, A-Z lowered, and where each row begins; bytes that aren't UTF-8 are one odd character each."""
+    lead = (data & 0xC0) != 0x80
+    at = np.concatenate([[0], np.cumsum(lead)])
+    try:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:
+        points, at = data.astype(np.uint32) + np.where(data < 128, 0, 0x110000).astype(np.uint32), np.arange(len(data) + 1)
+    return np.where((points >= 65) & (points <= 90), points + 32, points).astype(np.uint64), at[offsets]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Splitmix finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)
@@ -118,12 +141,21 @@ def held_out(doc_id: F.Column | str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
-    """At most per_class labelled texts of each class, those with the smallest hash of the id; never a held-out row.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """At most per_class labelled texts of each class and most_bytes of them, whole texts, those with the smallest hash of the id that fit; never a held-out row.
 
-    The ids are at most 2 * per_class, so they are broadcast; the texts are what the caller trains on in the driver."""
-    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    Of several labels of an id the largest counts, of several texts the one with the smallest hash. The ids are at most 2 * per_class, so they are
+    broadcast; the texts are what the caller trains on in the driver."""
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = rows.where("y = 0").orderBy(*order).limit(per_class).unionAll(rows.where("y = 1").orderBy(*order).limit(per_class))
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect()
+    given = docs.select("doc_id", "text", F.xxhash64("text").alias("t"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    found = given.drop("text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("t", "size")).alias("one"))
+    left, chosen = {0: most_bytes, 1: most_bytes}, {}
+    for r in found.select("doc_id", "y", "one.t", "one.size", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id").collect():
+        if r.size <= left[r.y]:
+            left[r.y] -= r.size
+            chosen[r.doc_id] = (r.t, r.y)
+    wanted = docs.sparkSession.createDataFrame([(i, t, y) for i, (t, y) in chosen.items()], "doc_id long, t long, y int")
+    got = given.join(F.broadcast(wanted), ["doc_id", "t"]).select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect()
     return [(r.text or "", r.y) for r in sorted(got, key=lambda r: r.doc_id)]
