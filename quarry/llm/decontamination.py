@@ -6,14 +6,15 @@ pieces of a block of items are searched for at once by an Aho-Corasick automaton
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.llm import textops as X
+from quarry.llm.line_dedup import save, scratch
 
 #: Edits that count as a copy, as a share of an item's characters.
 EDIT_RATE = 0.08
@@ -22,6 +23,8 @@ BLOCK_CHARS = 2_000_000
 #: Workers get a batch's texts in parts of so many bytes.
 STEP = 4 << 20
 
+HITS = "doc_id long, t long, item_id long, distance int"
+
 _LOWER = bytes(X.LOWER)
 
 
@@ -126,52 +129,57 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[
         yield block
 
 
-def marks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
-    """docs with a column more, _items: the ids and distances of the items that each row's text holds."""
-    any_items = False
-    for items in item_blocks(benchmark):
-        docs, any_items = _marked(docs, items, rate), True
-    if not any_items:
-        docs = docs.withColumn("_items", F.expr("CAST(array() AS array<struct<item_id: bigint, distance: int>>)"))
-    return docs
+def hits(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
+    """doc_id, t (the text's hash), item_id, distance of every item that a text of docs (doc_id, text) holds a copy of.
+
+    Block by block of items: a pass over the texts for each, whose few hits are stored before the next begins, so a worker holds one automaton, whatever the number of items."""
+    spark, folder, found = docs.sparkSession, scratch(docs.sparkSession), []
+    for k, items in enumerate(item_blocks(benchmark)):
+        found.append(save(_block_hits(docs, items, rate), f"{folder}/hits-{k}"))
+    if not found:
+        return spark.createDataFrame([], HITS)
+    return reduce(DataFrame.unionAll, found).groupBy("doc_id", "t", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def _marked(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
+def _block_hits(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
+    given = docs.sparkSession.sparkContext.broadcast(items)  # BLOCK_CHARS and one item at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, rate)
+        matcher = Matcher(given.value, rate)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            earlier = batch.schema.get_field_index("_items")
-            for a, b in X.steps(X.flat(batch.column(at))[1], STEP):
-                part = batch.slice(a, b - a)
-                found = [[{"item_id": i, "distance": d} for i, d in sorted(matcher.matches(t or "").items())] for t in part.column(at).to_pylist()]
-                if earlier >= 0:
-                    found = [x + y for x, y in zip(part.column(earlier).to_pylist(), found, strict=True)]
-                    columns, names = part.columns[:earlier], part.schema.names[:earlier]
-                else:
-                    columns, names = part.columns, part.schema.names
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], [*names, "_items"])
-
-    fields = [f for f in docs.schema.fields if f.name != "_items"]
-    items_type = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())]))
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("_items", items_type)]))
+            rows, ids, distances = [], [], []
+            for a, b in X.steps(X.flat(batch.column(2))[1], STEP):
+                for i, text in enumerate(batch.column(2).slice(a, b - a).to_pylist(), a):
+                    for item, distance in matcher.matches(text or "").items():
+                        rows.append(i)
+                        ids.append(item)
+                        distances.append(distance)
+            own = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(ids, pa.int64()), pa.array(distances, pa.int32())], ["doc_id", "t", "item_id", "distance"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, HITS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
     """doc_id, contaminated, n_items, items (their ids in order) and the least distance (null if none) of every row.
 
-    Null and empty texts hold nothing; null and empty items are in no text; an item too short for an edit must be there exactly. Repeated rows and
-    null ids give a row each; items with the same id are one."""
-    found = marks(docs.select("doc_id", "text"), benchmark, rate)
-    ids = F.array_sort(F.array_distinct(F.col("_items.item_id")))
-    return found.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("items"), F.array_min("_items.distance").alias("distance"))
+    Texts of any length are searched whole. Null and empty texts hold nothing; null and empty items are in no text; an item too short for an edit must be there exactly.
+    Repeated rows and null ids give a row each; items with the same id are one, the nearer counts; items with a null id are left out. An empty table gives no row; other columns are
+    left out, whatever their names."""
+    held = hits(docs, benchmark, rate).groupBy(F.col("doc_id").alias("of"), F.col("t").alias("of_t")).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.min("distance").alias("distance"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"))
+    both = rows.join(held, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("t") == F.col("of_t")), "left")
+    items = F.coalesce("items", F.array().cast("array<bigint>"))
+    return both.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("items"), "distance")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
-    return marks(docs, benchmark, rate).where(F.size("_items") == 0).drop("_items")
+    """The rows of docs whose text holds no copy of an item, with their columns, whatever their names; the cases are those of decontaminate()."""
+    t, of, of_t = X.fresh(docs, 3)
+    held = hits(docs, benchmark, rate).select(F.col("doc_id").alias(of), F.col("t").alias(of_t)).distinct()
+    return docs.withColumn(t, F.xxhash64("text")).join(held, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(t) == F.col(of_t)), "left_anti").drop(t)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all items of benchmark; the cases are those of decontaminate()."""
     return decontaminate(X.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
