@@ -13,6 +13,7 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -133,11 +134,33 @@ class PrefixCounter:
                 yield from ((w, False) for w in split(part))
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text. The texts' new pre-tokens are worked out together."""
-        parts = [[split(p) for p in (self.added.split(t)[::2] if self.added and "<" in t else [t])] for t in texts]
+        """Tokens of each text."""
+        return [n for n, _ in self.within(texts)]
+
+    def within(self, texts: list[str], budget: int | None = None) -> list[tuple[int, int]]:
+        """Tokens of each text, and the bytes of its longest prefix with at most budget tokens (-1 without a budget). The texts' new pre-tokens are worked out together.
+
+        The prefix is read from the running sums and, inside a pre-token, from the stored counts of its prefixes."""
+        parts = [[split(p) for p in (self.added.split(t)[::2] if self.added and self.added.search(t) else [t])] for t in texts]
         self.learn({w for p in parts for found in p for w in found})
-        of = self.total.__getitem__
-        return [len(p) - 1 + sum(sum(map(of, found)) for found in p) for p in parts]
+        of, out = self.total.__getitem__, []
+        for text, p in zip(texts, parts, strict=True):
+            if budget is None:
+                out.append((len(p) - 1 + sum(sum(map(of, found)) for found in p), -1))
+            elif len(p) > 1:  # added tokens inside
+                n = len(p) - 1 + sum(sum(map(of, found)) for found in p)
+                out.append((n, len(text.encode()) if n <= budget else self.cut(text, budget)))
+            else:
+                sums = list(accumulate(map(of, p[0]), initial=0))
+                out.append((sums[-1], len(text.encode()) if sums[-1] <= budget else self._cut_near(p[0], sums, budget)))
+        return out
+
+    def _cut_near(self, found: list[str], sums: list[int], budget: int) -> int:
+        """cut() from the pre-tokens around the budget alone."""
+        a, b = max(0, bisect_right(sums, budget) - 1 - 4 * BACK), bisect_right(sums, budget) + 2 * BACK
+        some = found[a:b]
+        at = list(accumulate((len(w.encode()) for w in some), initial=0))
+        return len("".join(found[:a]).encode()) + self._cut("".join(some).encode(), at, sums[a : a + len(at)], budget)
 
     def count(self, text: str) -> int:
         return self.counts([text])[0]
@@ -184,7 +207,9 @@ class PrefixCounter:
 
     def cut(self, text: str, budget: int) -> int:
         """Bytes of the longest prefix of whole code points with at most budget tokens. Counts aren't monotone: a prefix may fit behind one that doesn't."""
-        data, (at, counts) = text.encode(), self.table(text)
+        return self._cut(text.encode(), *self.table(text), budget)
+
+    def _cut(self, data: bytes, at: list[int], counts: list[int], budget: int) -> int:
         # count_at() counts anew from BACK pre-tokens before the cut at most, so a prefix behind this bound has more tokens than the budget.
         start = bisect_right(counts, budget - 1) - 1
         low, ends = at[max(0, bisect_right(counts, budget) - 1 - BACK)], at[min(len(at) - 1, start + BACK + 1)]
@@ -207,22 +232,24 @@ def tokenizer_path(name: str) -> str:
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row. A null text is empty and has no token; repeated rows and null ids give a row each.
+    """doc_id, n_bytes, n_tokens, over_limit and limit_bytes (the longest prefix of at most limit tokens) of every row. A null text is empty and has no token; texts of any
+    length are counted whole; repeated rows and null ids give a row each; an empty table gives none; other columns are left out, whatever their names.
     path: of the tokenizer file on the workers; by default that of the public tokenizers."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(path or tokenizer_path("byte_bpe_50k.json"))
-        n: list[int] = []
+        n: list[tuple[int, int]] = []
         for a, b in X.steps(X.flat(batch.column(1))[1], 2 << 20):
-            n += c.counts([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
+            n += c.within([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], limit)
         size = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        columns = [batch.column(0), size, pa.array([x for x, _ in n], pa.int64()), pa.array([x > limit for x, _ in n]), pa.array([x for _, x in n], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_bytes"])
 
-    return X.map_arrow(docs.select("doc_id", "text"), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return X.map_arrow(docs.select("doc_id", "text"), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long")
 
 
 def prefix_tables(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ends, counts: the running sums of every row at the ends of its pre-tokens. Counts inside a pre-token are the same in every text: PrefixCounter.inner."""
+    """doc_id, ends, counts: the running sums of every row at the ends of its pre-tokens, both from 0 (of a null or empty text that alone); repeated rows and null ids give a row each. Counts inside a pre-token are the same in every text: PrefixCounter.inner."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(path or tokenizer_path("byte_bpe_50k.json"))
@@ -234,7 +261,7 @@ def prefix_tables(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def truncate(docs: DataFrame, budget: int, path: str | None = None) -> DataFrame:
-    """doc_id and text cut to its longest prefix within the budget of tokens; a null text stays null."""
+    """doc_id and text of every row, cut to its longest prefix within the budget of tokens; a null text stays null, an empty one empty, and one within the budget whole."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(path or tokenizer_path("byte_bpe_50k.json"))
@@ -245,4 +272,5 @@ def truncate(docs: DataFrame, budget: int, path: str | None = None) -> DataFrame
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' counts; the cases are those of count_tokens()."""
     return count_tokens(X.documents(spark, sf_dir))
