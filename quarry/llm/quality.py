@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import textops as X
 
-#: Bound of the training sample: so many rows of each class.
+#: Bound of the training sample: so many rows of each class, and textops.SAMPLE_BYTES of them.
 PER_CLASS = 1000
+#: How much of a good row's text is good, and of a bad one's bad.
+MOSTLY = 0.95
 #: Byte classes of which a line's shares are features.
 CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:'\"", b"!?", b"%#&$*@^~=+", b"|", b"<>{}[]()/\\_", X.SPACES]
+#: Features of a line by itself; then come those of the line before and after, whether there is one, and a constant.
+N_OWN = len(CLASSES) + 5
 
 
 def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,12 +98,15 @@ class LineCrf:
 
     @classmethod
     def fit(cls, texts: list[str], y: list[int], rounds: int = 120, l2: float = 1e-4) -> LineCrf:
-        """Every line of a training row has the row's label. Each class has the same weight, so that the score is a likeness, not a share."""
+        """A row's label is that of most of its text, not of every line. A model of lines alone, by their own features, is fitted first, each line with its row's label.
+        What it makes of the lines, moved row by row so far that the share of good text is MOSTLY in a good row and the rest of it in a bad one, is what the
+        chain learns: so it sees lines of both kinds beside each other. Each class has the same weight, each row the same in its class. Without rows of both classes every text
+        gets the same score."""
         data, offsets = X.flat(pa.array([*texts, ""], pa.large_string()))
         parts = [line_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) + (a,) for a, b in X.steps(offsets)]
-        x, row = np.vstack([p[0] for p in parts]), np.concatenate([p[1] + p[3] for p in parts])
+        x, row, size = np.vstack([p[0] for p in parts]), np.concatenate([p[1] + p[3] for p in parts]), np.concatenate([p[2] for p in parts])
         use = row < len(texts)
-        x, row = x[use], row[use]
+        x, row, size = x[use], row[use], np.maximum(size[use], 1e-9)
         centre, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         centre[-1], scale[-1] = 0, 1
         model = cls(np.zeros(x.shape[1]), np.zeros((2, 2)), centre, scale)
@@ -107,22 +114,31 @@ class LineCrf:
         if not len(target) or target.min() == target.max():
             model.weights[-1] = 0 if not len(target) else (3 if target.max() else -3)
             return model
-        truth = target[row]
-        per_line = 1 / np.bincount(row, minlength=len(target))[row]
-        inner = row[1:] == row[:-1]
-        seen = np.zeros((2, 2))
-        for k in (0, 1):
-            seen[k, k] = (inner & (truth[1:] == k)).sum()
-        z = (x - centre) / scale
+        of_class = np.where(target == 1, 0.5 / target.sum(), 0.5 / (len(target) - target.sum()))
+        share = size / np.bincount(row, size, len(target))[row]
+        weight = (of_class / np.bincount(row, minlength=len(target)))[row]
+        alone = x.copy()
+        around = slice(N_OWN, 3 * N_OWN + 2)
+        alone[:, around] = centre[around]
+        model._descend(alone, row, target[row], weight, rounds, l2, False)
+        truth = _moved(model.marginals(alone, row)[0], row, share, np.where(target == 1, MOSTLY, 1 - MOSTLY))
+        model._descend(x, row, truth, weight, rounds, l2, True)
+        return model
+
+    def _descend(self, x: np.ndarray, row: np.ndarray, truth: np.ndarray, weight: np.ndarray, rounds: int, l2: float, chained: bool) -> None:
+        """truth: how likely each line is good; weight: of each line, 1 in all; chained: the transitions are learnt too."""
+        inner = np.flatnonzero(row[1:] == row[:-1])
+        both = np.stack([1 - truth, truth], 1)
+        seen = both[inner].T @ both[inner + 1]
+        z = (x - self.centre) / self.scale
         m, v = np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
         for t in range(1, rounds + 1):
-            good, turn = model.marginals(x, row)
-            grad = np.append(z.T @ ((good - truth) * per_line) / len(target) + l2 * model.weights, ((turn - seen) / max(inner.sum(), 1) + l2 * model.turn).ravel())
+            good, turn = self.marginals(x, row)
+            grad = np.append(z.T @ ((good - truth) * weight) + l2 * self.weights, ((turn - seen) / max(len(inner), 1) + l2 * self.turn).ravel())
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-            model.weights = model.weights - step[:-4]
-            model.turn = model.turn - step[-4:].reshape(2, 2)
-        return model
+            self.weights = self.weights - step[:-4]
+            self.turn = self.turn - chained * step[-4:].reshape(2, 2)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.zeros(len(offsets) - 1)
@@ -134,13 +150,25 @@ class LineCrf:
         return np.clip(out, 0, 1)
 
 
+def _moved(good: np.ndarray, row: np.ndarray, share: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """The lines' chances with each row's log odds moved alike, so that the mean over its text is the row's goal."""
+    odds = np.log(np.clip(good, 1e-6, 1 - 1e-6) / np.clip(1 - good, 1e-6, 1))
+    low, high = np.full(len(goal), -40.0), np.full(len(goal), 40.0)
+    for _ in range(40):
+        middle = (low + high) / 2
+        less = np.bincount(row, share / (1 + np.exp(-(odds + middle[row]))), len(goal)) < goal
+        low, high = np.where(less, middle, low), np.where(less, high, middle)
+    return 1 / (1 + np.exp(-(odds + ((low + high) / 2)[row])))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> LineCrf:
     sample = X.training_rows(docs, labels, "quality", per_class)
     return LineCrf.fit([t for t, _ in sample], [y for _, y in sample])
 
 
 def score(docs: DataFrame, model: LineCrf, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row. Null and empty texts are one empty line; repeated rows and null ids give a row each."""
+    """doc_id, held_out, score, predicted of every row. Null and empty texts are one empty line; texts of any length are scored whole; equal texts have equal scores; repeated rows
+    and null ids give a row each; an empty table gives none; other columns are left out, whatever their names."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = model.score(*X.flat(batch.column(2)))
@@ -151,5 +179,6 @@ def score(docs: DataFrame, model: LineCrf, threshold: float = 0.3) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' scores by a model of the labels that aren't held out; the cases are those of score()."""
     docs = X.documents(spark, sf_dir)
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
