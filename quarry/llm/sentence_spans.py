@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import textops as X
+from quarry.llm.line_dedup import release, save, scratch
 
 SPAN_SENTENCES = 2
 SPAN_WORDS = 12
@@ -93,9 +94,13 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed and the kept text of every row.
 
     Of equal spans the one with the smallest doc_id, then the first in its text, is kept. Null and empty texts have no sentence and stay as they
-    are, as do rows with a null id. Rows with the same id and text are one document and lose the same sentences."""
+    are, as do rows with a null id, and texts of one sentence or fewer than SPAN_WORDS words, which have no span. Texts of any length are taken whole. Rows with the same id and text
+    are one document and lose the same sentences. An empty table gives no row; other columns are left out, whatever their names."""
     found = span_rows(docs)
     owners = found.groupBy("h", "k").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "t", "pos")).alias("first")).where("c > 1").select("h", "k", "first")
+    # Stored, so that both sides of the join are plain shuffles, of which Spark splits a span that very many texts hold.
+    owners = save(owners, f"{scratch(docs.sparkSession)}/owners")
+    release(docs.sparkSession)
     later = found.join(owners, ["h", "k"]).where("NOT (doc_id = first.doc_id AND t = first.t AND pos = first.pos)")
     gone = later.groupBy("doc_id", "t").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("gone.pos").alias("_pos"), F.col("gone.n").alias("_n"))
@@ -127,4 +132,5 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their later copies of spans; the cases are those of dedup_spans()."""
     return dedup_spans(X.documents(spark, sf_dir))

@@ -365,5 +365,6 @@ def kept_texts(docs: DataFrame) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' removed bytes and the SHA-256 of what is kept; the cases are those of kept_texts()."""
     out = kept_texts(X.documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
