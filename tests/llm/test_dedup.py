@@ -70,6 +70,20 @@ def test_jaccard_dealt_out(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == label
 
 
+def test_links_inside_a_group_alone(spark):
+    """Members of one group that link with each other, and not with the group's leader: the group's postings may be nobody else's."""
+    some = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    rare = some("rare", 12)  # eight shingles in four texts only: the prefix of all four
+    fill = {k: [some(f"{k}{j}", 7) for j in range(10)] for k in "ab"}
+    text = lambda k, own: " ".join(sum(fill[k], []) + rare + own)
+    rows = [(i, text("ab"[i % 2], [])) for i in range(4)] + [(2, text("a", ["tail"])), (3, text("b", ["tail", "end"]))]
+    rows += [(100 + j, " ".join(fill[k][j] + fill[k][j + 1])) for k in "ab" for j in range(9) for _ in range(8)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    sets, label = brute_components(rows)
+    got = {r.doc_id: r.component_id for r in jaccard_join.classes(frame(spark, rows)).collect()}
+    assert got == label and len({label[i] for i in range(6)}) == 2
+
+
 @pytest.mark.parametrize("chunk", [512, 7])
 def test_jaccard_all_links(spark, monkeypatch, chunk):
     """n_links and the pairs have every link, also those inside a group that is already connected."""
@@ -87,41 +101,29 @@ def test_jaccard_all_links(spark, monkeypatch, chunk):
     pairs, membership = jaccard_join.link_pairs(docs)
     of = {}
     for r in membership.collect():
-        of[r.e] = min(r.doc_id, of.get(r.e, r.doc_id))
-    got = [tuple(sorted((of[r.a], of[r.b]), reverse=True)) for r in pairs.collect()]
+        of[bytes(r.id)] = min(r.doc_id, of.get(bytes(r.id), r.doc_id))
+    got = [tuple(sorted((of[bytes(r.a)], of[bytes(r.b)]), reverse=True)) for r in pairs.collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_leaders_leave_nobody_out(monkeypatch):
-    """Every member that may link with any is in a pair, and in blocks of any size."""
-    rnd = np.random.default_rng(2)
-    for block in (3, 50):
-        monkeypatch.setattr(jaccard_join, "BLOCK", block)
-        base = rnd.integers(0, 1 << 63, (4, jaccard_join.BITS // 64), dtype=np.uint64)
-        flips = np.packbits(rnd.random((40, jaccard_join.BITS)) < 0.02, axis=1).view(np.uint64)
-        odd = base[rnd.integers(0, 4, 40)] ^ flips
-        n = rnd.integers(180, 220, 40)
-        own = np.argsort(n, kind="stable")
-        full = jaccard_join.may_link(n, odd, n, odd) > 0
-        np.fill_diagonal(full, False)
-        pairs = {(int(x), int(y)) for xs, ys, _ in jaccard_join._to_leaders(own, n, odd) for x, y in zip(xs, ys, strict=True)}
-        assert {i for p in pairs for i in p} == set(np.flatnonzero(full.any(1)).tolist())
-        assert all(full[x, y] for x, y in pairs)
-
-
-def test_parity_bits_lose_no_link():
-    """Sets differ in at least as many shingles as their bits do, at equal and at different lengths of the strings."""
+def test_packed_tables():
     rnd = np.random.default_rng(5)
-    for n, m in ((1, 1), (40, 50), (127, 129), (600, 500), (3000, 2500), (40_000, 33_000)):
-        h = np.unique(rnd.integers(0, 1 << 63, n + m, dtype=np.uint64))
-        x, y = h[:n], h[n // 10 : n // 10 + m]
-        apart = len(np.setxor1d(x, y))
-        differ = jaccard_join.differing(jaccard_join.wide_bits(x), jaccard_join.wide_bits(y))
-        assert differ <= apart and (apart - differ) % 2 == 0
-        inter = len(np.intersect1d(x, y))
-        q = jaccard_join.likeness(np.array([len(x)]), np.array([len(y)]), np.array([differ]))[0]
-        if 100 * inter >= 80 * (len(x) + len(y) - inter):
-            assert q >= 10_000 * inter // (len(x) + len(y) - inter)
+    for n in (0, 1, 1000):
+        v = np.sort(rnd.integers(0, 1 << 48, n, dtype=np.uint64))
+        place, rank = rnd.integers(0, 60_000, n).astype(np.uint16), rnd.integers(0, 40, n).astype(np.uint8)
+        got = jaccard_join.unpacked(jaccard_join.packed(v, place, rank))
+        assert all((x == y).all() and len(x) == n for x, y in zip(got, (v, place, rank), strict=True))
+
+
+@pytest.mark.parametrize("often", [2, 16])
+def test_jaccard_frequent_shingles(spark, monkeypatch, often):
+    """Shingles that many sets of a chunk hold send only their number; sets over several chunks with repeated ids and rows."""
+    monkeypatch.setattr(jaccard_join, "OFTEN", often)
+    monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", 7)
+    rows = near_copies(48, 11)
+    sets, label = brute_components(rows)
+    got = jaccard_join.classes(frame(spark, rows + rows).repartition(3)).collect()
+    assert len(got) == 2 * len(rows) and {r.doc_id: r.component_id for r in got} == label
 
 
 def test_jaccard_edges(spark, edge, empty):
@@ -264,6 +266,30 @@ def test_spans_against_brute_force(spark):
     assert got == {i: len(gone[i]) for i, _ in rows} and sum(got.values()) > 0
 
 
+def test_clashing_names(spark):
+    """Names that operators might use inside, and upper-case twins of them, stay what they are."""
+    from quarry.llm import decontamination, toxicity
+
+    docs = frame(spark, EDGE[:8]).selectExpr("*", "1 AS _n", "2 AS _id", "3 AS _t", "4 AS _gone", "5 AS _items", "6 AS _q0", "7 AS _Q1", "8 AS of", "9 AS h1")
+    bench = spark.createDataFrame([(1, "quick brown fox jumps")], "item_id bigint, text string")
+    out = line_dedup.dedup_lines(docs)
+    assert out.where("_gone = 4 AND _n = 1 AND _Q1 = 7").count() == 8 and [c for c in out.columns if c != "n_dropped"] == [c for c in docs.columns if c != "n_lines"] + ["n_lines"]
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns and {r._t for r in kept.collect()} == {3}
+    clean = decontamination.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns and {r._items for r in clean.collect()} == {5} and clean.where("doc_id IN (1, 2)").count() == 0
+    assert toxicity.drop_toxic(docs, spark.createDataFrame([], "doc_id bigint, toxic int")).columns == docs.columns
+
+
+def test_long_texts_lose_repeats(spark):
+    """A very long text whose middle another holds, and one that repeats itself."""
+    rnd = random.Random(4)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(60_000))
+    rows = [(1, long), (2, "x" + long[20_000:20_900] + "y"), (3, None), (4, long[:500] + "-" + long[:500])]
+    got = suffix_dedup.kept_texts(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_bytes(rows)
+
+
 def test_kept_hash_is_of_the_text(spark):
     row = line_dedup.dedup_lines(frame(spark, [(1, "one")])).first()
     assert hashlib.sha256(row.text.encode()).hexdigest() == hashlib.sha256(b"one").hexdigest()

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -70,6 +71,21 @@ def test_cut_is_the_longest_prefix(library):
             assert c.cut(text, budget) == len(text[:most].encode())
 
 
+def test_limit_bytes(library):
+    """What the query reads from the sums around the limit is what cut() finds in the whole table, and the library's maximum over all prefixes."""
+    c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(3)
+    some = ["worthless", " \n\n", "they're", "日本語", "12345", "🎉🎉", "  ", "naïve", "x" * 30, ", ", "<|endoftext|>"]
+    for k in range(60):
+        text = " ".join(rnd.choice(some[: 11 if k % 5 == 0 else 10]) for _ in range(60))
+        for budget in (0, 1, 7, 40, 90):
+            n, cut = c.within([text], budget)[0]
+            assert n == len(library.encode(text, add_special_tokens=False).ids)
+            assert cut == (len(text.encode()) if n <= budget else c.cut(text, budget))
+            if k < 6 and "<" not in text:
+                assert cut == max(len(text[:i].encode()) for i in range(len(text) + 1) if len(library.encode(text[:i], add_special_tokens=False).ids) <= budget)
+
+
 def test_prefix_counts_are_looked_up(library, monkeypatch):
     c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
     text = "they've a worthless\n\nthing, " + "日本語 naïve" * 3 + "x" * 400 + "!<|endoftext|>  '\n\n we'll"
@@ -78,7 +94,7 @@ def test_prefix_counts_are_looked_up(library, monkeypatch):
     assert [c.count_at(text, n, table) for n in ends] == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
     plain = "a worthless, priceless thing 12345 " + "x" * 400
     table = c.table(plain)
-    monkeypatch.setattr(c, "counts", None)  # no encoding
+    monkeypatch.setattr(c, "within", None)  # no encoding
     monkeypatch.setattr(c, "learn", None)
     assert c.count_at(plain, len(plain), table) == table[1][-1] and c.count_at(plain, 6, table) == 3
     c.cut(plain, 5)
@@ -104,9 +120,26 @@ def test_bpe_round_trip(spark, edge, empty, tik):
     assert sorted(r.n_tokens for r in bpe.tokens(edge).collect()) == sorted(w[1] for w in want)
 
 
-def test_packed_numbers():
-    import numpy as np
+def test_decode_of_unknown_ids(spark, tik):
+    rows = [(1, [tik.encode_ordinary("abc")[0], None, 10_000_000, -5]), (2, None), (3, []), (None, tik.encode_ordinary(" tail"))]
+    got = bpe.decode(spark.createDataFrame(rows, "doc_id bigint, ids array<int>")).collect()
+    assert {r.doc_id: bytes(r.data) for r in got} == {1: b"abc", 2: b"", 3: b"", None: b" tail"}
 
+
+def test_bpe_chunks(spark, edge, tik, monkeypatch):
+    """Equal chunks are chunks of their own, and a worker that forgets words finds them again."""
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(bpe, "KEPT", 3)
+    monkeypatch.setattr(bpe, "STEP", 20)
+    rows = edge.where("doc_id IN (1, 2, 3, 8, 11)")
+    both = rows.unionAll(rows)
+    got = sorted((r.doc_id, list(r.ids)) for r in bpe.encode(both).collect())
+    want = sorted((i, tik.encode_ordinary(t)) for i, t in EDGE if i in (1, 2, 3, 8, 11))
+    assert got == sorted(want + want)
+
+
+def test_packed_numbers():
+    assert bpe.from_planes(bpe.planes(np.array([0, 1, 70_000, 1 << 31]))).tolist() == [0, 1, 70_000, 1 << 31] and len(bpe.from_planes(bpe.planes(np.zeros(0)))) == 0
     x = np.array([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, 200_000_000])
     assert bpe.unpack(bpe.pack(x)).tolist() == x.tolist()
     assert bpe.unpack(bpe.pack(x[:0])).tolist() == []
