@@ -117,8 +117,7 @@ class PrefixCounter:
     def learn(self, pieces: set[str], inner: bool = False) -> None:
         """inner: also the counts of all their prefixes, which whole texts' totals don't need."""
         if len(self.total) > KEPT:
-            self.total.clear()
-            self.inner.clear()
+            self.total, self.inner = {}, {}  # not cleared: within() goes on reading the counts that its texts need, also after a cut has learned more
         new = sorted((w.encode(), w) for w in pieces - (self.inner if inner else self.total).keys())
         for (_, w), at in zip(new, self.prefixes([d for d, _ in new]), strict=True):
             self.total[w] = at[-1]

@@ -86,6 +86,19 @@ def test_limit_bytes(library):
                 assert cut == max(len(text[:i].encode()) for i in range(len(text) + 1) if len(library.encode(text[:i], add_special_tokens=False).ids) <= budget)
 
 
+def test_counts_forgotten_inside_a_step(library, monkeypatch):
+    """More pre-tokens than are kept: a text that is cut makes room for its own, while the counts of the texts behind it are still needed."""
+    monkeypatch.setattr(token_counts, "KEPT", 3)
+    c = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    some = ["worthless they're  going", "naïve 日本語 \n\n we'll", "x<|endoftext|>y worthless", "12345 priceless"]
+    texts = [f"{s} w{i} {'tail ' * i}" * 3 for i, s in enumerate(some * 3)]
+    whole = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    got = c.within(texts, 9)
+    assert [n for n, _ in got] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    monkeypatch.setattr(token_counts, "KEPT", 300_000)
+    assert [b for _, b in got] == [whole.cut(t, 9) for t in texts]
+
+
 def test_prefix_counts_are_looked_up(library, monkeypatch):
     c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
     text = "they've a worthless\n\nthing, " + "日本語 naïve" * 3 + "x" * 400 + "!<|endoftext|>  '\n\n we'll"
