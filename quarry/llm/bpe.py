@@ -24,8 +24,8 @@ from quarry.llm.token_counts import tokenizer_path
 
 #: Bytes of text that share a dictionary of words; a longer document is a chunk of its own.
 CHUNK_BYTES = 24 << 20
-#: Words whose ids a worker keeps, and words of documents that are put together at once.
-KEPT, STEP = 1_000_000, 1 << 20
+#: Words whose ids a worker keeps, and words of documents that are put together at once; the latter take about 100 bytes each meanwhile.
+KEPT, STEP = 1_000_000, 1 << 17
 
 
 @lru_cache(2)
@@ -52,28 +52,38 @@ def chunks(batch: pa.RecordBatch) -> Iterator[tuple[bytes, pa.RecordBatch]]:
         part = batch.slice(a, b - a)
         key = hashlib.blake2b(repr((TaskContext.get().partitionId(), part.column(0).to_pylist())).encode(), digest_size=16)
         data, where = X.flat(part.column(1))
-        key.update(where.tobytes())
-        key.update(data.tobytes())
+        key.update(where)
+        key.update(data)
         yield key.digest(), part
 
 
-def numbered(part: pa.RecordBatch) -> tuple[list[str], list[np.ndarray]]:
-    """Distinct pre-tokens of a chunk, the most frequent first, and each row's pre-tokens as their places in that list."""
+def numbered(part: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of a chunk, the most frequent first, all rows' pre-tokens as their places in that list, and where each row's begin (one more entry for the end)."""
     place: dict[str, int] = {}
-    rows = []
+    steps, sizes, counts = [], [0], np.zeros(0, np.int64)
     for a, b in X.steps(X.flat(part.column(1))[1], 1 << 20):
+        rows = []
         for text in part.column(1).slice(a, b - a).to_pylist():
             found = split(text or "")
             for w in found:
                 if w not in place:
                     place[w] = len(place)
-            rows.append(np.fromiter(map(place.__getitem__, found), np.int32, len(found)))
-    counts = np.bincount(np.concatenate(rows), minlength=len(place)) if rows else np.zeros(0, int)
+            rows.append(np.fromiter(map(place.__getitem__, found), np.uint32, len(found)))
+            sizes.append(len(found))
+        steps.append(np.concatenate(rows))
+        more = np.bincount(steps[-1], minlength=len(place))
+        more[: len(counts)] += counts
+        counts = more
     by = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(by), np.int32)
-    rank[by] = np.arange(len(by), dtype=np.int32)
+    rank = np.empty(len(by), np.uint32)
+    rank[by] = np.arange(len(by), dtype=np.uint32)
+    begins = np.cumsum(sizes)
+    places, at = np.empty(begins[-1], np.uint32), 0
+    for some in steps:
+        np.take(rank, some, out=places[at : at + len(some)])
+        at += len(some)
     words = list(place)
-    return [words[i] for i in by], [rank[r] for r in rows]
+    return [words[i] for i in by], places, begins
 
 
 def pack(places: np.ndarray) -> bytes:
@@ -113,8 +123,8 @@ def unpacked_words(data: bytes) -> list[bytes]:
 
 def planes(numbers: np.ndarray) -> bytes:
     """Numbers below 2 ** 32, byte plane by byte plane, compressed."""
-    raw = np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
-    return len(numbers).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    raw = np.ascontiguousarray(numbers.astype(np.uint32, copy=False).view(np.uint8).reshape(-1, 4).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(pa.py_buffer(raw), codec="zstd", asbytes=True)
 
 
 def from_planes(data: bytes) -> np.ndarray:
@@ -147,19 +157,18 @@ def encoded(docs: DataFrame, finish: Finish, schema: str, path: str | None = Non
         for batch in batches:
             for key, part in chunks(batch):
                 key, number = key + number.to_bytes(4, "little"), number + 1
-                distinct, places = numbered(part)
+                distinct, places, begins = numbered(part)
                 found = [w.encode() for w in distinct]
                 of = np.fromiter((zlib.crc32(w) for w in found), np.int64, len(found)) % buckets
                 by = np.argsort(of, kind="stable")
                 edge = np.searchsorted(of[by], np.arange(buckets + 1))
                 # The chunk's own row: the bucket of each word, to find its ids again, and its rows.
-                begins = np.cumsum([0, *map(len, places)])
                 table = pa.table({"doc_id": part.column(0), "words": pa.array(np.diff(begins))})
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_table(table)
                 head = sink.getvalue().to_pybytes()
-                to, blobs, more = [int.from_bytes(key[:4], "little") % buckets], [planes(of)], [len(head).to_bytes(8, "little") + head + planes(np.concatenate(places) if places else np.zeros(0))]
+                to, blobs, more = [int.from_bytes(key[:4], "little") % buckets], [planes(of)], [len(head).to_bytes(8, "little") + head + planes(places)]
                 for k in np.flatnonzero(np.diff(edge)).tolist():
                     own = [found[i] for i in by[edge[k] : edge[k + 1]].tolist()]
                     to.append(k)
@@ -186,7 +195,12 @@ def encoded(docs: DataFrame, finish: Finish, schema: str, path: str | None = Non
                 out.append(data)
             yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("chunk"), pa.array(out, pa.binary()), batch.column("more")], names)
 
-    def assemble(chunk: pa.Table) -> pa.Table:
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a chunk, STEP words at a time; what they took goes back before the next chunk."""
+        yield from assembled(pa.Table.from_batches(batches))
+        X.hand_back()
+
+    def assembled(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
         table = codec(path or tokenizer_path(name))[1]
         mine = chunk.filter(chunk.column("more").is_valid())
         if mine.num_rows != 1:
@@ -208,17 +222,23 @@ def encoded(docs: DataFrame, finish: Finish, schema: str, path: str | None = Non
         first = np.empty(len(of), np.int64)
         first[by] = np.cumsum(size[by]) - size[by]
         begins = np.append(0, np.cumsum(rows.column("words").to_numpy()))
-        parts = []
         for a, b in X.steps(begins, STEP):
             words = places[begins[a] : begins[b]]
             n = size[words]
             ends = np.append(0, np.cumsum(n))
             some = flat[np.repeat(first[words] - ends[:-1], n) + np.arange(ends[-1])].astype(np.int64)
-            parts.append(pa.Table.from_arrays(finish(rows.column("doc_id").slice(a, b - a), some, ends[begins[a : b + 1] - begins[a]], table), [f.split()[0] for f in schema.split(", ")]))
-        return pa.concat_tables(parts)
+            doc_ids = rows.column("doc_id").slice(a, b - a).combine_chunks()
+            yield pa.RecordBatch.from_arrays(finish(doc_ids, some, ends[begins[a : b + 1] - begins[a]], table), [f.split()[0] for f in schema.split(", ")])
+
+    dealt = rows.mapInArrow(X.frugal(words), "bucket int, chunk binary, data binary, more binary").repartitionById(buckets, "bucket")
+    return dealt.mapInArrow(X.frugal(encode), "bucket int, chunk binary, data binary, more binary").groupBy("chunk").applyInArrow(assemble, schema)
 
-    dealt = rows.mapInArrow(words, "bucket int, chunk binary, data binary, more binary").repartitionById(buckets, "bucket")
-    return dealt.mapInArrow(encode, "bucket int, chunk binary, data binary, more binary").groupBy("chunk").applyInArrow(assemble, schema)
+
+@lru_cache(2)
+def spelled_ids(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every id below n as text with a space behind it, one after another, and where each begins (one more entry for the end)."""
+    text = np.frombuffer(b"".join(b"%d " % i for i in range(n)), np.uint8)
+    return text, np.append(0, np.flatnonzero(text == 32) + 1)
 
 
 def lists(ids: np.ndarray, begins: np.ndarray) -> pa.Array:
@@ -256,10 +276,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids as text and of the bytes that they decode to, for every row; the cases are those of encode()."""
 
     def finish(doc_ids, ids, begins, table):
-        # Every id as text with a space behind it; a row's last space doesn't count.
-        text = np.frombuffer(b"".join(b"%d " % i for i in range(len(table))), np.uint8)
-        at = np.append(0, np.flatnonzero(text == 32) + 1)
-        shown, where = gathered(text, at, ids)
+        shown, where = gathered(*spelled_ids(len(table)), ids)  # a row's last space doesn't count
         where = where[begins].tolist()
         spelled = [hashlib.sha256(shown[a : max(a, b - 1)]).hexdigest() for a, b in zip(where, where[1:], strict=False)]
         return [doc_ids, pa.array(np.diff(begins)), pa.array(spelled, pa.string()), decoded_digests(ids, begins, table)]

@@ -157,7 +157,7 @@ def _block_hits(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> D
             own = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(ids, pa.int64()), pa.array(distances, pa.int32())], ["doc_id", "t", "item_id", "distance"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, HITS)
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(X.frugal(run), HITS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:

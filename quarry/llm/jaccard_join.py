@@ -259,8 +259,8 @@ def counted_shingles(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.binary()), pa.array([False]), pa.array([packed(v[use], place[use], rank)], pa.binary()), pa.array([more], pa.binary())], names)
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    dealt = rows.mapInArrow(deal, "bucket int, chunk binary, own boolean, data binary, more binary")
-    return dealt.repartitionById(buckets, "bucket").mapInArrow(count, "chunk binary, own boolean, data binary, more binary")
+    dealt = rows.mapInArrow(X.frugal(deal), "bucket int, chunk binary, own boolean, data binary, more binary")
+    return dealt.repartitionById(buckets, "bucket").mapInArrow(X.frugal(count), "chunk binary, own boolean, data binary, more binary")
 
 
 def parities(place: np.ndarray, v: np.ndarray, live: np.ndarray) -> Iterator[bytes]:
@@ -282,6 +282,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
     odd: BITS bits, each 1 if an odd number of shared's shingles fall on it. Two sets' shared shingles differ in at least as many as these differ in bits."""
 
     def assemble(table: pa.Table) -> pa.Table:
+        X.hand_back()  # what the chunk before took
         own = table.filter(table.column("own"))
         rest = table.filter(pa.compute.invert(table.column("own")))
         if own.num_rows != 1:
@@ -334,7 +335,7 @@ def postings(leaders: DataFrame) -> DataFrame:
             several = batch.column("size").to_numpy() > 1
             yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), batch.column("id").take(pa.array(row)), pa.array(several[row])], ["h", "lead", "several"])
 
-    return leaders.select("id", "k", "shared", "size").mapInArrow(run, "h long, lead binary, several boolean")
+    return leaders.select("id", "k", "shared", "size").mapInArrow(X.frugal(run), "h long, lead binary, several boolean")
 
 
 def prefixes(batch: pa.RecordBatch, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -370,7 +371,7 @@ def entries(wanted: DataFrame, members: DataFrame, more: list[str]) -> DataFrame
             columns = [pa.array(v[at].astype(np.int64)), batch.column("id").take(rows), pa.array(n[row]), pa.array(u[row]), batch.column("odd").take(rows), pa.array(u[row] + place), raw]
             yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).take(rows) for c in more)], ["h", "id", "n", "u", "odd", "at", "before", *more])
 
-    return both.mapInArrow(run, "h long, id binary, n long, u long, odd binary, at long, before binary" + "".join(f", {c} binary" for c in more))
+    return both.mapInArrow(X.frugal(run), "h long, id binary, n long, u long, odd binary, at long, before binary" + "".join(f", {c} binary" for c in more))
 
 
 def may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -457,7 +458,7 @@ def set_pairs(given: DataFrame, labelled: bool, one: bool = False) -> DataFrame:
             x, y, q = x[first], y[first], q[first]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(x)), batch.column("id").take(pa.array(y)), pa.array(q)], ["a", "b", "q"])
 
-    found = dealt(given, labelled).repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(run, "a binary, b binary, q long")
+    found = dealt(given, labelled).repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(X.frugal(run), "a binary, b binary, q long")
     if labelled:
         return found.groupBy("a", "b").agg(F.max("q").alias("q"))
     return found.groupBy("a").agg(F.max(F.struct("q", "b")).alias("v")).select("a", "v.b", "v.q")
@@ -504,7 +505,7 @@ def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
             inter = np.array([len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)], np.int64)
             yield batch.select(["a", "b"]).filter(pa.array((inter > 0) & (DEN * inter >= NUM * (n + m - inter))))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(X.frugal(run), "a binary, b binary")
 
 
 def shared_shingles(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
@@ -554,7 +555,7 @@ def links_within(nodes: DataFrame, members: DataFrame, pairs: bool) -> DataFrame
                 else:
                     yield pa.RecordBatch.from_arrays([ids.slice(x, y - x), pa.array(ok.sum(1).astype(np.int64))], ["id", "n"])
 
-    return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary" if pairs else "id binary, n long")
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(X.frugal(run), "a binary, b binary" if pairs else "id binary, n long")
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -125,6 +126,27 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+
+
+def hand_back() -> None:
+    """What this worker has freed goes back to the system, and powers() with it. Workers live on from task to task, so it would count beside what the next stage takes."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, which hands its memory back at the end of a task."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        hand_back()
+
+    return whole
+
+
 def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """One Arrow batch in, one out."""
 
@@ -156,6 +178,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
         if r.size <= left[r.y]:
             left[r.y] -= r.size
             chosen[r.doc_id] = (r.t, r.y)
-    wanted = docs.sparkSession.createDataFrame([(i, t, y) for i, (t, y) in chosen.items()], "doc_id long, t long, y int")
+    # As an Arrow table: a list would go through Python workers of another kind, which stay beside those of the stages.
+    columns = [pa.array(list(chosen), pa.int64()), pa.array([t for t, _ in chosen.values()], pa.int64()), pa.array([y for _, y in chosen.values()], pa.int32())]
+    wanted = docs.sparkSession.createDataFrame(pa.table(columns, ["doc_id", "t", "y"]))
     got = given.join(F.broadcast(wanted), ["doc_id", "t"]).select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect()
     return [(r.text or "", r.y) for r in sorted(got, key=lambda r: r.doc_id)]

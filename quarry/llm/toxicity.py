@@ -140,8 +140,11 @@ def likeliness(text: Column, model: NaiveBayesLinear) -> Column:
     keys, weights, bias = model.keys, model.weights, model.bias
 
     @F.arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(NaiveBayesLinear(keys, weights, bias).score(*X.flat(texts)))
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = NaiveBayesLinear(keys, weights, bias)
+        for texts in batches:
+            yield pa.array(model.score(*X.flat(texts)))
+        X.hand_back()
 
     return scored(text)
 

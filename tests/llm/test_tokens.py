@@ -3,9 +3,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -151,6 +154,39 @@ def test_bpe_chunks(spark, edge, tik, monkeypatch):
     assert got == sorted(want + want)
 
 
+def test_bpe_chunk_memory(tik, monkeypatch):
+    """A chunk is put together some words at a time: what that takes doesn't grow with the chunk."""
+    steps = []
+
+    class Docs:
+        sparkSession = SimpleNamespace(conf=SimpleNamespace(get=lambda _: "4"))
+        select = repartitionById = groupBy = lambda self, *_: self
+
+        def mapInArrow(self, run, _):
+            steps.append(run)
+            return self
+
+        applyInArrow = mapInArrow
+
+    bpe.tokens(Docs())
+    words, encode, assemble = steps
+    monkeypatch.setattr(bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rnd = random.Random(4)
+    some = ["".join(rnd.choices("abcdefghij", k=rnd.randint(1, 8))) for _ in range(5000)]
+    texts = [" ".join(rnd.choices(some, k=3000)) for _ in range(300)]
+    size = sum(map(len, texts))
+    packed = list(encode(words(iter([pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], ["doc_id", "text"])]))))
+    tracemalloc.start()
+    n, tokens = 0, 0
+    for batch in assemble(iter(packed)):
+        n += batch.num_rows
+        tokens += sum(batch.column("n_tokens").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 300 and tokens == sum(map(len, tik.encode_ordinary_batch(texts)))
+    assert peak < 6 * size
+
+
 def test_packed_numbers():
     assert bpe.from_planes(bpe.planes(np.array([0, 1, 70_000, 1 << 31]))).tolist() == [0, 1, 70_000, 1 << 31] and len(bpe.from_planes(bpe.planes(np.zeros(0)))) == 0
     x = np.array([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, 200_000_000])
