@@ -16,6 +16,10 @@ WORD = r"\p{L}\p{Nd}\p{Mn}"
 BINARY = "�"
 #: A run of CJK, of one word's characters, or of undecodable ones.
 RUNS = f"[{CJK}]+|[{WORD}&&[^{CJK}]]+|{BINARY}+"
+#: A run of one word's characters in lower case; those that most words are of come first, as Java looks the general classes up one character at a time.
+WORDS = f"[a-z0-9{WORD}]+"
+#: Texts with none of these have no CJK and nothing undecodable: a test of a range, not of scripts.
+HIGH = "[^\\x{0}-\\x{2e7f}]"
 #: Limits of admission.
 MAX_NUMBER, MAX_BYTES, REPEAT, BASE64_LEAST = 16, 64, 8, 24
 MAX_POSITION = 65535
@@ -23,6 +27,8 @@ ADMITTED = ("word", "number", "cjk-bigram", "cjk-unigram")
 DROPPED = ("drop-too-long", "drop-long-number", "drop-binary", "drop-base64", "drop-repeat")
 #: Texts with none of these are their own NFKC form.
 MAY_CHANGE = "[^\\x{0}-\\x{9f}\\x{a1}-\\x{a7}\\x{a9}\\x{ab}-\\x{ae}\\x{b0}\\x{b1}\\x{b6}\\x{b7}\\x{bb}\\x{bf}-\\x{131}\\x{134}-\\x{13e}\\x{141}-\\x{148}\\x{14a}-\\x{17e}]"
+#: The same but for the marks of Latin-1 and what lies beyond, of which some are their own form too: two ranges are tried faster than eighteen.
+MAY_CHANGE_AT_ALL = "[^\\x{0}-\\x{9f}\\x{c0}-\\x{131}]"
 
 
 @F.arrow_udf(StringType())
@@ -30,14 +36,20 @@ def nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
+def not_ascii(text: Column) -> Column:
+    """Found by lengths alone, so the patterns below are tried on few texts."""
+    return F.octet_length(text) > F.char_length(text)
+
+
 def simple_lower(text: Column) -> Column:
     """Lower case rune by rune: no final sigma, one rune for the dotted capital I."""
-    return F.lower(F.translate(text, "İΣ", "iσ"))
+    return F.when(not_ascii(text) & (text.contains("İ") | text.contains("Σ")), F.lower(F.translate(text, "İΣ", "iσ"))).otherwise(F.lower(text))
 
 
 def normalized(df: DataFrame, text: str = "text") -> DataFrame:
     """df with text in NFKC. Only rows that may change go through Python."""
-    change = F.coalesce(F.col(text).rlike(MAY_CHANGE), F.lit(False))
+    t = F.col(text)
+    change = F.coalesce(not_ascii(t) & t.rlike(MAY_CHANGE_AT_ALL) & t.rlike(MAY_CHANGE), F.lit(False))
     # One scan: the others go as nulls, which cost Python nothing.
     return df.withColumn(text, F.coalesce(nfkc(F.when(change, F.col(text))), F.col(text)))
 
@@ -52,32 +64,43 @@ def raw_tokens(text: Column) -> Column:
         .when(F.char_length(m) == 1, F.array(m))
         .otherwise(F.transform(F.sequence(F.lit(1), F.char_length(m) - 1), lambda i: F.substring(m, i, F.lit(2)))),
     )
-    plain = F.regexp_extract_all(simple_lower(text), F.lit(f"[{WORD}]+"), F.lit(0))
-    return F.when(text.rlike(f"[{CJK}{BINARY}]"), F.flatten(cut)).otherwise(plain)
+    plain = F.regexp_extract_all(simple_lower(text), F.lit(WORDS), F.lit(0))
+    return F.when(not_ascii(text) & text.rlike(HIGH) & text.rlike(f"[{CJK}{BINARY}]"), F.flatten(cut)).otherwise(plain)
 
 
 def term_class(term: Column) -> Column:
-    """Admission class, in the order of the checks."""
+    """Admission class, in the order of the checks. A length that rules a pattern out is looked at first."""
+    n = F.char_length(term)
     return (
         F.when(term == BINARY, "drop-binary")
-        .when(term.rlike(f"^[{CJK}]{{2}}$"), "cjk-bigram")
-        .when(term.rlike(f"^[{CJK}]$"), "cjk-unigram")
-        .when(term.rlike("^[0-9]+$"), F.when(F.char_length(term) > MAX_NUMBER, "drop-long-number").otherwise("number"))
+        .when((n == 2) & term.rlike(f"^[{CJK}]{{2}}$"), "cjk-bigram")
+        .when((n == 1) & term.rlike(f"^[{CJK}]$"), "cjk-unigram")
+        .when(term.rlike("^[0-9]+$"), F.when(n > MAX_NUMBER, "drop-long-number").otherwise("number"))
         .when(F.octet_length(term) > MAX_BYTES, "drop-too-long")
-        .when(term.rlike(f"(.)\\1{{{REPEAT - 1}}}"), "drop-repeat")
-        .when((F.char_length(term) >= BASE64_LEAST) & term.rlike("^[\\p{L}0-9]+$") & term.rlike("[0-9]") & term.rlike("\\p{L}"), "drop-base64")
+        .when((n >= REPEAT) & term.rlike(f"(.)\\1{{{REPEAT - 1}}}"), "drop-repeat")
+        .when((n >= BASE64_LEAST) & term.rlike("^[\\p{L}0-9]+$") & term.rlike("[0-9]") & term.rlike("\\p{L}"), "drop-base64")
         .otherwise("word")
     )
 
 
+def tokenized(df: DataFrame, keys: list[str], text: str = "text", normal: bool = False) -> DataFrame:
+    """keys, pos, term of every token. Positions count dropped tokens too. normal: the text is in NFKC already."""
+    rows = df.select(*keys, F.col(text).alias("_text"))
+    return (rows if normal else normalized(rows, "_text")).select(*keys, F.posexplode(raw_tokens(F.col("_text"))).alias("pos", "term"))
+
+
 def positioned(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, pos, term, class of every token. Positions count dropped tokens too."""
-    rows = normalized(df.select(*keys, F.col(text).alias("_text")), "_text")
-    return rows.select(*keys, F.posexplode(raw_tokens(F.col("_text"))).alias("pos", "term")).withColumn("class", term_class(F.col("term")))
+    """tokenized() with the class of each."""
+    return tokenized(df, keys, text).withColumn("class", term_class(F.col("term")))
+
+
+def is_admitted(term: Column) -> Column:
+    """Whether the class is one of ADMITTED. Short terms are, but for undecodable ones: every other drop needs REPEAT characters at least."""
+    return (term != BINARY) & ((F.char_length(term) < REPEAT) | term_class(term).isin(*ADMITTED))
 
 
-def admitted(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    return positioned(df, keys, text).where(F.col("class").isin(*ADMITTED)).drop("class")
+def admitted(df: DataFrame, keys: list[str], text: str = "text", normal: bool = False) -> DataFrame:
+    return tokenized(df, keys, text, normal).where(is_admitted(F.col("term")))
 
 
 #: Bytes after which a sentence without an end mark ends at a space.
