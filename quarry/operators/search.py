@@ -89,17 +89,17 @@ def degrade_bits(spark: SparkSession, asked: list[int], mounted: list[int]) -> i
 def dev_search(postings: DataFrame, queries: DataFrame, values: DataFrame, k: int) -> DataFrame:
     """Exhaustive scores cut at k, and only then without spam: it may return fewer."""
     best = search(postings, queries, k)
-    return best.join(values.select("docid", "spam"), "docid").where(F.col("spam") <= SPAM_LIMIT).select("query_id", "rank", "docid", "score")
+    return values.select("docid", "spam").join(F.broadcast(best), "docid").where(F.col("spam") <= SPAM_LIMIT).select("query_id", "rank", "docid", "score")
 
 
 def displayed(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Hits with what is shown of them, in their order; records are only looked up for the final page."""
-    return hits.join(docs, "docid").select("query_id", "rank", "docid", "score", *[c for c in docs.columns if c != "docid"])
+    """Hits with what is shown of them, in their order; records are only looked up for the final page, which goes to where they are."""
+    return docs.join(F.broadcast(hits), "docid").select("query_id", "rank", "docid", "score", *[c for c in docs.columns if c != "docid"])
 
 
 def with_snippets(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """hits with the snippet of each; docs: docid, text. The snippet is found for the hits alone."""
-    return hits.join(docs.select("docid", "text"), "docid").select("query_id", "rank", "docid", "score", snippets(F.col("text")).alias("snippet"))
+    """hits with the snippet of each; docs: docid, text. The snippet is found for the hits alone, which go to where the texts are: no text is shuffled."""
+    return docs.select("docid", "text").join(F.broadcast(hits), "docid").select("query_id", "rank", "docid", "score", snippets(F.col("text")).alias("snippet"))
 
 
 def asked(postings: DataFrame, queries: DataFrame) -> DataFrame:
