@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,9 +69,17 @@ def scores(postings: DataFrame, queries: DataFrame, deleted: DataFrame | None =
 def search(postings: DataFrame, queries: DataFrame, k: int, candidates: int | None = None, shards: list[int] | None = None, deleted: DataFrame | None = None, enforce_ops: bool = False) -> DataFrame:
     """query_id, rank, docid (shard in its upper half), score: each shard's best candidates, scores capped, then the best k; ties by shard order, then docid."""
     candidates = candidates or k
+    _valid(k, candidates, shards)
+    return best_of(scores(postings, queries, deleted, enforce_ops), k, candidates, shards)
+
+
+def _valid(k: int, candidates: int, shards: list[int] | None = None) -> None:
     if not 1 <= k <= min(candidates, MAX_ENTRIES) or shards is not None and not 1 <= len(shards) <= MAX_SHARDS:
         raise ValueError("1 <= k <= candidates, k <= 4096 and 1 to 1024 shards are asked for")
-    found = scores(postings, queries, deleted, enforce_ops)
+
+
+def best_of(found: DataFrame, k: int, candidates: int, shards: list[int] | None = None) -> DataFrame:
+    """The best candidates of each shard, and of those the best k."""
     if shards is not None:
         place = F.array_position(F.array(*[F.lit(s) for s in shards]), F.col("shard").cast("int"))
         found = found.where(F.col("shard").isin(shards)).withColumn("_place", place)
@@ -81,6 +91,82 @@ def search(postings: DataFrame, queries: DataFrame, k: int, candidates: int | No
     return out.select("query_id", "rank", global_docid(F.col("shard"), F.col("docid")).alias("docid"), "score")
 
 
+#: Documents and queries whose scores are worked out at once.
+DOCS_AT_ONCE, QUERIES_AT_ONCE = 1024, 256
+
+
+def search_batch(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As search() on one shard, for a batch of queries that share many terms: the postings of all their terms are dealt out by document, and a task's scores are a product of
+    two matrices, documents by terms and terms by queries. Each task sends the best k of each query, so no row is made for each query and document.
+
+    The batch (a row for each query and term) is held by the driver and each task."""
+    _valid(k, k)
+    rows = queries.where(F.col("op") != NOT).groupBy("query_id", "term").agg(F.sum("times").alias("times")).collect()
+    ids, terms = sorted({r.query_id for r in rows}), sorted({r.term for r in rows})
+    at, number = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(terms)}
+    asked_by = np.array([(at[r.query_id], number[r.term], r.times) for r in rows], np.int64).reshape(-1, 3)
+    # A float holds whole numbers below 2 ** 24.
+    kind = np.float32 if IMPACT_CAP * np.bincount(asked_by[:, 0], asked_by[:, 2]).max(initial=0) < 1 << 24 else np.float64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for a in range(0, len(ids), QUERIES_AT_ONCE):
+            own = asked_by[(asked_by[:, 0] >= a) & (asked_by[:, 0] < a + QUERIES_AT_ONCE)]
+            used, place = np.unique(own[:, 1], return_inverse=True)
+            weights = np.zeros((len(used), min(QUERIES_AT_ONCE, len(ids) - a)), kind)
+            weights[place, own[:, 0] - a] = own[:, 2]
+            parts.append((a, used, weights))
+        best, floor = [np.zeros((3, 0), np.int64)], np.zeros(len(ids), np.int64)  # query, docid, score; what a later document has to exceed
+        for docids, at, term, impact in documents(batches):
+            held = np.zeros((len(docids), len(terms)), kind)
+            np.add.at(held, (at, term), impact)
+            for a, used, weights in parts:
+                score = held[:, used] @ weights
+                doc, query = np.nonzero(score > floor[a : a + weights.shape[1]])
+                best.append(np.stack([query + a, docids[doc], score[doc, query].astype(np.int64)]))
+            if sum(x.shape[1] for x in best) > max(2 * k * len(ids), 1 << 18):
+                best = [kept_best(np.concatenate(best, axis=1), k, floor)]
+        found = kept_best(np.concatenate(best, axis=1), k, floor)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[found[0]]), pa.array(found[1]), pa.array(found[2])], ["query_id", "docid", "score"])
+
+    spark = queries.sparkSession
+    numbers = spark.createDataFrame([(t, i) for t, i in number.items()], "term string, number int")
+    posts = postings.join(F.broadcast(numbers), "term").select("docid", "number", F.least("tf", F.lit(IMPACT_CAP)).cast("int").alias("impact"))
+    found = posts.repartition("docid").sortWithinPartitions("docid").mapInArrow(run, "query_id bigint, docid bigint, score bigint")
+    return best_of(found.withColumn("shard", F.lit(0)), k, k)
+
+
+def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows docid, number, impact, sorted by docid, by up to DOCS_AT_ONCE whole documents: their docids, and of each row the place of its docid there, number and impact."""
+    held = np.zeros((3, 0), np.int64)
+    for batch in batches:
+        held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+        docids, starts = np.unique(held[0], return_index=True)
+        whole = len(docids) - 1  # the last may go on
+        for a in range(0, whole - whole % DOCS_AT_ONCE, DOCS_AT_ONCE):
+            yield _part(held[:, starts[a] : starts[a + DOCS_AT_ONCE]])
+        held = held[:, starts[whole - whole % DOCS_AT_ONCE] :] if whole >= 0 else held
+    docids, starts = np.unique(held[0], return_index=True)
+    for a in range(0, len(docids), DOCS_AT_ONCE):
+        yield _part(held[:, starts[a] : starts[a + DOCS_AT_ONCE] if a + DOCS_AT_ONCE < len(docids) else None])
+
+
+def _part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    docids, at = np.unique(rows[0], return_inverse=True)
+    return docids, at, rows[1], rows[2]
+
+
+def kept_best(rows: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
+    """Of rows query, docid, score the best k of each query, the smaller docid first; floor gets the score of the k-th where there is one."""
+    rows = rows[:, np.lexsort((rows[1], -rows[2], rows[0]))]
+    begins = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1])) if rows.shape[1] else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begins, rows.shape[1]))
+    rank = np.arange(rows.shape[1]) - np.repeat(begins, sizes)
+    full = begins[sizes >= k]
+    floor[rows[0][full]] = rows[2][full + k - 1]
+    return rows[:, rank < k]
+
+
 def degrade_bits(spark: SparkSession, asked: list[int], mounted: list[int]) -> int:
     """A shard that was asked for and isn't mounted sets its bit."""
     return DEGRADE_SHARD if set(asked) - set(mounted) else 0

@@ -168,4 +168,4 @@ def search_batch(spark, d):
     """All benchmark items as one batch of queries, top 100 each. A query takes its item's different words, up to the service's limit of terms."""
     words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{Nd}\\p{Mn}]+"), F.lit(0))), 1, S.MAX_TERMS)
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words).alias("term"), F.lit(1).alias("times"), F.lit(S.SHOULD).alias("op"))
-    return S.search(stored(spark, d, "postings").select("term", "docid", "tf"), q, 100)
+    return S.search_batch(stored(spark, d, "postings").select("term", "docid", "tf"), q, 100)
