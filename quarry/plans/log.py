@@ -296,9 +296,8 @@ def replay_governor(spark, d):
 
 @query("residency", f"WITH {TERMS_SQL}, s AS (SELECT 'postings' AS band, df * 8 AS bytes FROM terms UNION ALL SELECT 'terms', 32 FROM terms) SELECT band, sum(bytes)::BIGINT AS bytes, band = 'terms' AS locked FROM s GROUP BY band")
 def residency(spark, d):
-    terms = I.terms(doc_postings(spark, d))
-    sizes = terms.select(F.lit("postings").alias("band"), (F.col("df") * 8).alias("bytes")).unionAll(terms.select(F.lit("terms"), F.lit(32).cast("bigint")))
-    return R.residency(sizes, ["terms"])
+    each = F.array(F.struct(F.lit("postings").alias("band"), (F.col("df") * 8).alias("bytes")), F.struct(F.lit("terms").alias("band"), F.lit(32).cast("bigint").alias("bytes")))
+    return R.residency(I.terms(doc_postings(spark, d)).select(F.inline(each)), ["terms"])
 
 
 @query("fixture_pages")

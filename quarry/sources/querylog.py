@@ -20,7 +20,8 @@ def read_query_log(spark: SparkSession, path: str) -> DataFrame:
 
 def bands(terms: DataFrame) -> DataFrame:
     """rank from 0 by df descending, and band: head (the first hundredth, one term at least), torso (to a fifth), tail."""
-    ranked = numbered(terms.select("term", "df"), [F.desc("df"), F.col("term")], "rank")
+    terms = saved(terms.select("term", "df"))  # read three times; counting them takes all texts
+    ranked = numbered(terms, [F.desc("df"), F.col("term")], "rank")
     n = terms.agg(F.count(F.lit(1)).alias("n"))
     both = ranked.crossJoin(F.broadcast(n))  # one row
     head = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("n") / 100))
