@@ -43,25 +43,34 @@ def rows_of(name: str, content: bytes) -> Iterator[tuple]:
         yield name, i, h.get("warc-type", ""), h.get("warc-target-uri", ""), h.get("warc-date", ""), payload.decode("utf-8", "replace")
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """Records of files (path, content): the file, the record's place in it, type, url, date, text."""
+#: Bytes of texts or files that are put together before they go on.
+PART_BYTES = 8 << 20
+
+
+def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of batches of path, content. One file's content is held as Python's at a time, and PART_BYTES of texts."""
+    names = ["file", "arrival", "type", "url", "date", "text"]
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 4]
+    held, size = [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file", "arrival", "type", "url", "date", "text"]
-        kinds = [pa.string(), pa.int64(), *[pa.string()] * 4]
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held, size = [], 0
-                for row in rows_of(name, content.as_py()):
-                    held.append(row)
-                    size += len(row[5])
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    for batch in batches:
+        for name, content in zip(batch.column(0), batch.column(1), strict=True):
+            for row in rows_of(name.as_py(), content.as_py()):
+                held.append(row)
+                size += len(row[5])
+                if size > PART_BYTES:
+                    yield batch_of(held)
+                    held, size = [], 0
+    if held:
+        yield batch_of(held)
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """Records of files (path, content): the file, the record's place in it, type, url, date, text."""
+    return files.select("path", "content").mapInArrow(parse, SCHEMA)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -83,22 +92,31 @@ def write_warc(rows: list[dict], path: str) -> None:
             f.write(record(r["type"], r["url"], r.get("date", ""), r["text"]))
 
 
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, content of the files of sorted batches. Rows are taken out of Arrow one at a time, and files go on as soon as they have PART_BYTES."""
+    name, held, done, size = None, [], [], 0
+
+    def batch_of(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in done]), pa.array([c for _, c in done], pa.binary())], ["path", "content"])
+
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            file, _, *fields = (c.as_py() for c in row)
+            if file != name and held:
+                done.append((name, b"".join(held)))
+                size += len(done[-1][1])
+                held = []
+                if size > PART_BYTES:
+                    yield batch_of(done)
+                    done, size = [], 0
+            name = file
+            held.append(record(*(f or "" for f in fields)))
+    if held:
+        done.append((name, b"".join(held)))
+    if done:
+        yield batch_of(done)
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """path, content: rows (file, at, type, url, date, text) as WARC files, each file's records in order of at. A file is a unit, so its rows should be few."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, []
-        for batch in batches:
-            done = []
-            for file, _, *fields in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if file != name and held:
-                    done.append((name, b"".join(held)))
-                    held = []
-                name = file
-                held.append(record(*(f or "" for f in fields)))
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done]), pa.array([c for _, c in done], pa.binary())], ["path", "content"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(held)], pa.binary())], ["path", "content"])
-
-    return rows.select("file", "at", "type", "url", "date", "text").repartition("file").sortWithinPartitions("file", "at").mapInArrow(run, "path string, content binary")
+    return rows.select("file", "at", "type", "url", "date", "text").repartition("file").sortWithinPartitions("file", "at").mapInArrow(pack, "path string, content binary")
