@@ -15,6 +15,7 @@ from quarry.functions.hashing import fingerprint, rfc3339_ms, simhash64
 from quarry.functions.url import canonicalize_url, host_partition
 from quarry.operators.ordered import numbered
 from quarry.schemas import URL_LAW_VERSION
+from quarry.sources.stored import saved
 
 #: Bytes that a text needs, rows and bytes at which a segment is sealed, and what each row counts besides text and URL.
 MIN_TEXT, SEGMENT_ROWS, SEGMENT_BYTES, ROW_BYTES = 64, 16384, 64 << 20, 80
@@ -63,7 +64,23 @@ def segment_numbers(rows: DataFrame, arrival: str = "arrival", limit: int = SEGM
 def sealed_by_size(rows: DataFrame, arrival: str | list[str] = "arrival", max_rows: int = SEGMENT_ROWS, max_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """rows with seq, the segment of each in its partition: a segment is sealed after the row that reaches max_rows or max_bytes.
 
-    A running sum that starts again has no built-in form; one pass over each partition's rows, sorted by Spark, a batch at a time."""
+    segments() sees the sizes alone; rows are stored, and each gets its number back where it is. Rows of one place count in the order of their sizes."""
+    order = [arrival] if isinstance(arrival, str) else arrival
+    tie = lambda df: df.withColumn("_key", F.struct("partition", *order)).withColumn("_tie", F.row_number().over(Window.partitionBy("_key").orderBy("_size")))
+    sized = saved(rows.withColumn("_size", size_of()))
+    seqs = tie(segments(sized, order, max_rows, max_bytes)).select("_key", "_tie", "seq")
+    return tie(sized).join(seqs, ["_key", "_tie"]).select(*rows.columns, "seq")
+
+
+def size_of() -> Column:
+    """The bytes that a row counts."""
+    return (F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + ROW_BYTES).cast("long")
+
+
+def segments(sizes: DataFrame, order: list[str], max_rows: int = SEGMENT_ROWS, max_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """partition, the columns of order, _size and seq, sealed_by_size()'s, of rows with _size.
+
+    A running sum that starts again has no built-in form; one pass over each partition's places and sizes, sorted by Spark, a batch at a time. No text comes here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, n, total = None, 1, 0, 0
@@ -76,12 +93,10 @@ def sealed_by_size(rows: DataFrame, arrival: str | list[str] = "arrival", max_ro
                 n, total = n + 1, total + size
                 if n >= max_rows or total >= max_bytes:
                     seq, n, total = seq + 1, 0, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.int64())], [*batch.schema.names[:-1], "seq"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "seq"])
 
-    order = [arrival] if isinstance(arrival, str) else arrival
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + ROW_BYTES
-    sized = rows.withColumn("_size", size.cast("long")).repartition("partition").sortWithinPartitions("partition", *order)
-    return sized.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("seq", T.LongType())]))
+    sized = sizes.select("partition", *order, "_size").repartition("partition").sortWithinPartitions("partition", *order, "_size")
+    return sized.mapInArrow(run, T.StructType([*sized.schema.fields, T.StructField("seq", T.LongType())]))
 
 
 def page_rows(kept: DataFrame, fetch_ms: Column, *more: str) -> DataFrame:
@@ -135,10 +150,10 @@ def import_records(records: DataFrame, parts: int = 16, max_rows: int = SEGMENT_
 
 def import_statistics(records: DataFrame, parts: int = 16, max_rows: int = SEGMENT_ROWS, max_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """pages, dups, rejected, short and segments of an import."""
-    rows = hashed(outcomes(records.where("type = 'conversion'")), parts)
-    sealed = sealed_by_size(firsts(rows.where("outcome = 'kept'"), PAGE_KEYS, ARRIVAL), ARRIVAL, max_rows, max_bytes)
-    segments = sealed.groupBy("partition").agg(F.max("seq").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("segments"))
-    return statistics(rows, PAGE_KEYS).crossJoin(F.broadcast(segments))  # one row each
+    rows = saved(hashed(outcomes(records.where("type = 'conversion'")), parts).select("outcome", *PAGE_KEYS, *ARRIVAL, size_of().alias("_size")))  # counted and sealed without the texts
+    sealed = segments(firsts(rows.where("outcome = 'kept'"), PAGE_KEYS, ARRIVAL), ARRIVAL, max_rows, max_bytes)
+    n = sealed.groupBy("partition").agg(F.max("seq").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("segments"))
+    return statistics(rows, PAGE_KEYS).crossJoin(F.broadcast(n))  # one row each
 
 
 def docids(pages: DataFrame, order: list[str] | None = None) -> DataFrame:

@@ -143,7 +143,7 @@ def segments_seal(spark, d):
 @query("segments_by_bytes")
 def segments_by_bytes(spark, d):
     rows = table(spark, d, "documents").select((F.col("doc_id") % 4).cast("int").alias("partition"), F.col("doc_id").alias("arrival"), "text", F.lit("").alias("url"))
-    return N.sealed_by_size(rows, max_rows=100, max_bytes=200_000).select("partition", "arrival", "seq")
+    return N.segments(rows.withColumn("_size", N.size_of()), ["arrival"], max_rows=100, max_bytes=200_000).select("partition", "arrival", "seq")
 
 
 BITS_SQL = r"""
