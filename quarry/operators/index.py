@@ -114,7 +114,7 @@ def packs(posts: DataFrame, value: str | None = None) -> DataFrame:
     """term, chunk, own (the sorted docids of the term in a chunk of CHUNK docids, from its begin, each with the value below it in VALUE_BITS), before (the term's postings in
     earlier chunks), last (their last docid), df. Stored.
 
-    Postings travel packed, a row for each term and chunk, never more than CHUNK in one; a window counts the packs of a term, not its postings."""
+    Postings travel packed, a row for each term and chunk, never more than CHUNK in one; a window counts the packs of a term, not its postings. A posting without a docid is in none."""
     code = F.shiftleft(F.col("docid") - F.col("chunk") * CHUNK, VALUE_BITS).bitwiseOR(F.col(value) if value else F.lit(0)).cast("int")
     rows = posts.withColumn("chunk", F.shiftright("docid", CHUNK_BITS)).select("term", "chunk", code.alias("code"))
     own = saved(rows.groupBy("term", "chunk").agg(F.sort_array(F.collect_list("code")).alias("own")))
