@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.operators import graph, index, ingest, search
-from quarry.plans import catalogue
+from quarry.plans import catalogue, common
 from quarry.sources import querylog, warc
 
 SF = "/root/testdata/sf0.001"
